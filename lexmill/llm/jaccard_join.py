@@ -9,7 +9,7 @@ one of them. The order puts blocks first whose rarest shingle is rare in the cor
 texts), so passages that many documents share seldom make candidates. Small bands have a block for each hash. A set also makes
 candidates in the band above if a partner can be there.
 
-Equal keys are found in packed buckets. Candidates are joined in two rounds, each with size, Hamming (512-bit parity sketch)
+Equal keys are found in packed buckets. Candidates are joined in two rounds, each with size, Hamming (a dense parity sketch of two to four bits a shingle)
 and exact checks: first every set with the first document of its key; then, for keys whose documents are still in different
 components, all pairs between components. Pairs in one component aren't made, so a group of near copies costs links in
 proportion to its size, and no link that matters to a component is lost.
@@ -37,7 +37,8 @@ FOUND = "kind int, doc_id long, n long, k1 long, k2 long, sketch array<long>"
 FOUND_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "n", "k1", "k2")], ("sketch", pa.list_(pa.int64()))])
 LOW48 = U64((1 << 48) - 1)
 COUNTERS, SLICE = 1 << 20, 1 << 14
-SKETCH_WORDS = 8
+#: Bits of the filter that tells which documents' sets are needed; a bit shared by chance costs a set too many, never one too few.
+FILTER = 1 << 23
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +132,21 @@ def block_keys(keys: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> tuple
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
-def sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity sketches of 512 bits: every shingle flips one bit."""
-    out = np.zeros((len(first) - 1, SKETCH_WORDS), np.uint64)
-    filled = np.flatnonzero(np.diff(first))
-    bit, word = U64(1) << (keys & U64(63)), (keys >> U64(6)) & U64(SKETCH_WORDS - 1)
-    for w in range(SKETCH_WORDS) if len(filled) else ():
-        out[filled, w] = np.bitwise_xor.reduceat(np.where(word == U64(w), bit, U64(0)), first[filled])
-    return out
+def _widths(size: np.ndarray) -> np.ndarray:
+    """The first word of each set's sketch (one more than sets)."""
+    return np.r_[0, np.cumsum(np.where(size > 0, 1 << np.maximum(0, np.log2(np.maximum(size, 1)).astype(np.int64) - 4), 0))]
+
+
+def sketches(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches, every shingle flips one bit, and each row's first word (one more than rows).
+
+    A set in [2^j, 2^(j+1)) has 2^(j+2) bits, at least 64; halves XORed give the sketch of half the width.
+    """
+    start = _widths(np.diff(first))
+    words, row = np.diff(start), rows_of(first)
+    out = np.zeros(int(start[-1]), np.uint64)
+    np.bitwise_xor.at(out, start[row] + ((keys >> U64(6)) & (words[row] - 1).astype(np.uint64)).astype(np.int64), U64(1) << (keys & U64(63)))
+    return out, start
 
 
 def _added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -186,9 +194,10 @@ def _described(n_buckets: int, rarity, most: int = 1_500_000):
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             for part, keys, first in _sets_of(batch):
                 own, ok, size = ids[part], known[part], np.diff(first)
-                d1, d2, sketch = _added(mix(keys + U64(1)), first), _added(mix(keys ^ U64(0x5851F42D4C957F2D)), first), sketches(keys, first)
+                d1, d2 = _added(mix(keys + U64(1)), first), _added(mix(keys ^ U64(0x5851F42D4C957F2D)), first)
+                sketch, start = sketches(keys, first)
                 flush.turn += 1
-                yield _batch([(2, flush.turn % n_buckets, planes(own[ok]), planes(size[ok]), planes(d1[ok].view(np.int64)), planes(d2[ok].view(np.int64)), sketch[ok].tobytes()), (3, flush.turn % n_buckets, planes(size[~ok]), None, None, None, None)])
+                yield _batch([(2, flush.turn % n_buckets, planes(own[ok]), planes(size[ok]), planes(d1[ok].view(np.int64)), planes(d2[ok].view(np.int64)), sketch[np.repeat(ok, np.diff(start))].tobytes()), (3, flush.turn % n_buckets, planes(size[~ok]), None, None, None, None)])
                 keys, row = block_keys(keys, first, rarity.value)
                 keys, row = keys[ok[row]], row[ok[row]]
                 parts.append((keys, own[row]))
@@ -219,8 +228,7 @@ def _met(table: pa.Table) -> pa.Table:
         out |= {"k1": np.concatenate([unplanes(x) for x in a]), "doc_id": np.concatenate([unplanes(x) for x in b])}
     elif kind == 2:
         out |= {x: np.concatenate([unplanes(y) for y in v]) for x, v in zip(("doc_id", "n", "k1", "k2"), (a, b, c, d), strict=True)}
-        words = np.frombuffer(b"".join(e), np.int64)
-        out["sketch"] = pa.ListArray.from_arrays(np.arange(len(out["n"]) + 1, dtype=np.int32) * SKETCH_WORDS, words)
+        out["sketch"] = pa.ListArray.from_arrays(_widths(out["n"]).astype(np.int32), np.frombuffer(b"".join(e), np.int64))
     else:
         out["n"] = np.concatenate([unplanes(x) for x in a])
     n = len(next(v for v in out.values() if v is not None))
@@ -228,19 +236,40 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table([pa.nulls(n, f.type) if out[f.name] is None else pa.array(out[f.name], f.type) for f in FOUND_ARROW], schema=FOUND_ARROW)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, keys, first in _sets_of(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.ListArray.from_arrays(first.astype(np.int32), keys.view(np.int64))], names=["doc_id", "shingles"])
+def _set_rows(needed):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy(zero_copy_only=False)]))
+            for part, keys, first in _sets_of(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.ListArray.from_arrays(first.astype(np.int32), keys.view(np.int64))], names=["doc_id", "shingles"])
+
+    return run
+
+
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER))
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The sets of the documents in `needed` (doc_id); a filter of fixed size spares the others the trip, so no text is shuffled."""
+    slots = needed.select((_slot("doc_id") + 1).alias("slot"))  # bitmap buckets count from 1
+    filled = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    bits = bytearray(FILTER // 8)
+    for bucket, part in filled:
+        bits[(bucket - 1) * 4096 : bucket * 4096] = part
+    wanted = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    return docs.filter("doc_id is not null").withColumn("slot", _slot("doc_id")).mapInArrow(_set_rows(wanted), "doc_id long, shingles array<long>")
 
 
 def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b): those whose sets are similar enough. The sketches' distance goes first, then the sets themselves."""
     side = lambda x: members.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
+    fold = lambda x, y: F.expr(f"if(size({x}) > size({y}), {half(x)}, {x})")
+    apart = F.aggregate(F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "sets")
+    sets = stored(_sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
     joined = close.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return joined.withColumn("both", both).filter("100 * both >= 75 * (n_a + n_b - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
