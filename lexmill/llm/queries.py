@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .mixing import measured, mix_sources
+from .packing import best_fit_packing, document_pieces
 from .substring_dedup import substring_dedup
+from .tables import stored
+from .token_files import token_file_digests
+
+
+def vocabulary() -> str:
+    """The tokenizer file of the queries; the operators take any."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +34,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(measured(_documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(_documents(spark, sf_dir), vocabulary())
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(document_pieces(_documents(spark, sf_dir), vocabulary()), "pieces")
+    return best_fit_packing(pieces)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_jaccard_join)}
+    return {f.__name__: f for f in (op2_substring_dedup, op5_jaccard_join, op6_mixing, op7_token_files, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,16 +17,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def temporary(spark: SparkSession, folder: str, name: str) -> str:
+    """A new path in the folder; what is written there goes when the session ends."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there and lost executors cost nothing.
 
     The files go when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = temporary(spark, shared_folder(spark).rstrip("/"), name)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
