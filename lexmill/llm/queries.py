@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_to_every
 from .jaccard_join import jaccard_components
+from .language_id import identified
+from .line_dedup import line_dedup
 from .mixing import measured, mix_sources
 from .packing import best_fit_packing, document_pieces
+from .progressive_jpeg import media_digests
 from .substring_dedup import substring_dedup
 from .tables import stored
 from .token_files import token_file_digests
+from .toxicity import toxicity
 
 
 def vocabulary() -> str:
@@ -22,34 +27,59 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_dedup(_table(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_table(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_documents(spark, sf_dir))
+    return jaccard_components(_table(spark, sf_dir))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(measured(_documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(measured(_table(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file_digests(_documents(spark, sf_dir), vocabulary())
+    return token_file_digests(_table(spark, sf_dir), vocabulary())
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_to_every(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = stored(document_pieces(_documents(spark, sf_dir), vocabulary()), "pieces")
+    pieces = stored(document_pieces(_table(spark, sf_dir), vocabulary()), "pieces")
     return best_fit_packing(pieces)
 
 
+QUERIES = (op1_line_dedup, op2_substring_dedup, op3_progressive_jpeg, op4_toxicity, op5_jaccard_join, op6_mixing, op7_token_files, op8_nearest, op9_language_id, op10_best_fit_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_jaccard_join, op6_mixing, op7_token_files, op10_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import ORACLES
+
+    return dict(ORACLES)
