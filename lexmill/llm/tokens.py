@@ -47,7 +47,7 @@ class _Store:
 class Encoder:
     """Encodes Arrow columns of texts; keeps the ids of at most `most` pieces between batches. For vocabularies below 65536 ids."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -135,14 +135,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def gathered(batches, most_bytes: int = 12 << 20, text: str = "text"):
-    """Arrow batches joined to about most_bytes of text, so that a piece is looked up once for many rows."""
+def gathered(batches, most_bytes: int = 6 << 20, text: str = "text"):
+    """Arrow batches joined, or cut, to about most_bytes of text: a piece is looked up once for many rows, and few rows are held."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.column(text).nbytes
-        if size >= most_bytes:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most_bytes - size, "right")))
+            held.append(batch.slice(begin, end - begin))
+            size += int(ends[end - 1]) - before
+            begin = end
+            if size >= most_bytes or begin < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
