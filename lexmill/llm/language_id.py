@@ -73,7 +73,7 @@ def train_language_model(labelled: DataFrame, smoothing: float = 0.5, most_langu
     for i, n, x in summed.collect():
         counts[i], docs[i] = np.frombuffer(x, np.int64), n
     counts += smoothing
-    return LanguageModel(languages, np.log(docs + 1) - np.log(docs.sum() + len(docs)), np.log(counts) - np.log(counts.sum(1, keepdims=True)))
+    return LanguageModel(languages, np.log((docs + 1) / max(1, docs.sum() + len(docs))), np.log(counts) - np.log(counts.sum(1, keepdims=True)))
 
 
 def _scored(model):

@@ -153,7 +153,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return p, share
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Weights and constant of a ridge logistic regression on soft labels, by Newton's method."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
