@@ -128,22 +128,23 @@ def _votes(counts: np.ndarray, patterns: np.ndarray, lexicon: np.ndarray) -> np.
 def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the toxic class and the voters' weights, from votes in {-1, 0, 1}.
 
-    `start`: first guess of the posterior. Each round estimates the rate of each vote in either class, and the correlation of
-    each pair of voters within the classes; a voter's evidence is divided by one plus the correlations it has with others.
+    `start`: first guess of the posterior, from the labels. The correlation of each pair of voters is that within the guessed
+    classes; a voter's evidence is divided by one plus the correlations it has with others. Each round estimates the rate of
+    each vote in either class, half from the posterior and half from the guess, so that the classes can't change places.
     """
     values = np.array([-1, 0, 1])
     seen = (votes[:, :, None] == values).astype(float)
+    hard = start > 0.5
+    left = votes - np.where(hard[:, None], votes[hard].mean(0) if hard.any() else 0, votes[~hard].mean(0) if (~hard).any() else 0)
+    spread = np.sqrt((left * left).mean(0))
+    related = np.abs(left.T @ left) / len(left) / np.maximum(spread * spread[:, None], 1e-9)
+    np.fill_diagonal(related, 0)
+    share = 1 / (1 + np.where(related > 0.1, related, 0).sum(1))
     p = start.astype(float)
-    share = np.ones(votes.shape[1])
     for _ in range(rounds):
-        bad = (np.einsum("n,njv->jv", p, seen) + 0.5) / (p.sum() + 1.5)
-        good = (np.einsum("n,njv->jv", 1 - p, seen) + 0.5) / ((1 - p).sum() + 1.5)
-        expected = p[:, None] * (bad @ values) + (1 - p)[:, None] * (good @ values)
-        left = votes - expected
-        spread = np.sqrt((left * left).mean(0)) + 1e-9
-        related = np.abs(left.T @ left / len(left) / spread / spread[:, None])
-        np.fill_diagonal(related, 0)
-        share = 1 / (1 + np.where(related > 0.1, related, 0).sum(1))
+        q = (p + hard) / 2
+        bad = (np.einsum("n,njv->jv", q, seen) + 0.5) / (q.sum() + 1.5)
+        good = (np.einsum("n,njv->jv", 1 - q, seen) + 0.5) / ((1 - q).sum() + 1.5)
         evidence = np.einsum("njv,jv,j->n", seen, np.log(bad) - np.log(good), share)
         new = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior) - np.log1p(-prior), -30, 30)))
         if np.abs(new - p).max() < 1e-4:
