@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import fold
+from .tables import stored
 from .words import LOWER, SEPARATORS, U64, buffers, rows_of, slices, word_bounds, word_hashes
 
 #: Bytes of the beginnings of words that may be terms.
@@ -183,14 +184,16 @@ def _sample_features(terms):
     return run
 
 
-def train_toxicity(labelled: DataFrame, most_rows: int = 20_000, most_terms: int = 250) -> ToxicityModel:
-    """From rows (doc_id, text, toxic 0 or 1). At most `most_rows` of them are used, those of the smallest hash of doc_id; rows
-    with a null label are left out. Without toxic rows all scores are near 0.
+def train_toxicity(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 250) -> ToxicityModel:
+    """From documents (doc_id, text) and labels (doc_id, toxic 0 or 1). At most `most_rows` labels are used, those of the smallest
+    hash of doc_id; null labels are left out. Without toxic rows all scores are near 0. No text is shuffled: the chosen labels,
+    most_rows of them at most, go to the documents.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null")
-    picked = F.broadcast(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))  # most_rows ids at most
-    sample = rows.join(picked, "doc_id").select("text", "toxic")
+    spark = documents.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").dropDuplicates(["doc_id"])
+    picked = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labels")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = stored(rows.select("text", "toxic"), "sample")
     n_bad, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     ratio = (F.log(F.col("bad") / F.lit(n_bad + 1.0)) - F.log((F.col("total") - F.col("bad") + 1) / F.lit(n - n_bad + 1.0))).alias("ratio")
     seen = sample.mapInArrow(_seen, "term long, bad long, total long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total"))
@@ -240,6 +243,5 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_column: str =
 
 def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
     """score_toxicity with a model of the labelled rows whose fold isn't the held-out one; held_out says which are."""
-    known = labels.select("doc_id", "toxic").filter(F.coalesce(fold("doc_id", parts), F.lit(held)) != held).dropDuplicates(["doc_id"])
-    model = train_toxicity(documents.select("doc_id", "text").join(known, "doc_id"))
+    model = train_toxicity(documents, labels.filter(F.coalesce(fold("doc_id", parts), F.lit(held)) != held))
     return score_toxicity(documents, model).select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(True)).alias("held_out"), "score", "predicted")
