@@ -11,8 +11,9 @@ candidates in the band above if a partner can be there.
 
 Equal keys are found in packed buckets. Candidates are joined in two rounds, each with size, Hamming (a dense parity sketch of two to four bits a shingle)
 and exact checks: first every set with the first document of its key; then, for keys whose documents are still in different
-components, all pairs between components. Pairs in one component aren't made, so a group of near copies costs links in
-proportion to its size, and no link that matters to a component is lost.
+components, those pairs between components that pass the Hamming check, which keys of many owners make block by block before
+any pair becomes a row. Pairs in one component aren't made, so a group of near copies costs links in proportion to its size, and
+no link that matters to a component is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LOW48 = U64((1 << 48) - 1)
 COUNTERS, SLICE = 1 << 20, 1 << 14
 #: Bits of the filter that tells which documents' sets are needed; a bit shared by chance costs a set too many, never one too few.
 FILTER = 1 << 23
+#: Owners up to which a key's pairs are rows of a join; more of them meet in blocks of about so many.
+FEW, BLOCK = 8, 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +278,45 @@ def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("both", both).filter("100 * both >= 75 * (n_a + n_b - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = [batch.column(x)[k].values for x in ("outside", "block")]
+            (ids, n, root), (other_ids, other_n, other_root) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root")] for x in sides)
+            width = min(int(x.field("sketch").value_lengths().to_numpy(zero_copy_only=False).min()) for x in sides)
+            own, other = (_folded(x.field("sketch"), width) for x in sides)
+            for i in range(len(ids)):
+                ok = np.flatnonzero((other_root != root[i]) & (4 * np.minimum(n[i], other_n) >= 3 * np.maximum(n[i], other_n)))
+                ok = ok[np.bitwise_count(other[ok] ^ own[i]).sum(axis=1, dtype=np.int64) * 7 <= n[i] + other_n[ok]]
+                if len(ok):
+                    yield pa.RecordBatch.from_arrays([pa.array(f(ids[i], other_ids[ok]), pa.int64()) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+
+def _folded(sketch: pa.ListArray, width: int) -> np.ndarray:
+    """Sketches as rows of a matrix, wider ones XORed down to the width."""
+    lengths, words = sketch.value_lengths().to_numpy(zero_copy_only=False), sketch.flatten().to_numpy(zero_copy_only=False)
+    out, start = np.zeros((len(lengths), width), np.int64), np.cumsum(lengths) - lengths
+    for w in np.unique(lengths):
+        at = np.flatnonzero(lengths == w)
+        out[at] = np.bitwise_xor.reduce(words[start[at][:, None] + np.arange(w)].reshape(len(at), w // width, width), axis=1)
+    return out
+
+
+def _crowded(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidates (a, b) of keys with many owners, by blocks: only what passes the sketches becomes a row.
+
+    A key's owners are dealt into blocks by size class, as sets of classes further apart than one can't link, and by a hash
+    of their id, so that a block holds about BLOCK of them whatever the key's size; blocks meet pairwise.
+    """
+    size_class = F.floor(F.ln("n") / F.lit(float(np.log(4 / 3)))).cast("int")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("owners") / BLOCK)).cast("int")
+    placed = keys.join(reps.select("doc_id", "sketch"), "doc_id").select("key", size_class.alias("class"), part.alias("part"), (F.col("root") != F.col("largest")).alias("out"), F.struct("doc_id", "n", "root", "sketch").alias("own"))
+    blocks = stored(placed.groupBy("key", "class", "part").agg(F.collect_list("own").alias("block"), F.collect_list(F.when(F.col("out"), F.col("own"))).alias("outside")), "blocks")
+    asking = blocks.filter(F.size("outside") > 0).select("key", F.explode(F.array([F.col("class") + k for k in (-1, 0, 1)])).alias("class"), "outside")
+    return asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("outside", "block").mapInArrow(_meeting, "a long, b long")
+
+
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity 0.75 or more).
 
@@ -303,10 +345,12 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     roots = components(links)
 
     placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("largest")).filter("roots > 1")
-    open_keys = stored(placed.join(mixed.select("key", F.col("largest.root").alias("largest")), "key"), "open")
-    outside = open_keys.filter("root <> largest").select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
-    rest = outside.join(open_keys, "key").filter(f"root <> other_root and {fits}").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    mixed = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("owners"), F.max(F.struct("m", "root")).alias("largest")).filter("roots > 1")
+    open_keys = stored(placed.join(mixed.select("key", "owners", F.col("largest.root").alias("largest")), "key"), "open")
+    few = open_keys.filter(F.col("owners") <= FEW)
+    outside = few.filter("root <> largest").select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
+    rest = outside.join(few, "key").filter(f"root <> other_root and {fits}").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+    rest = rest.unionByName(_crowded(open_keys.filter(F.col("owners") > FEW), reps)).distinct()
     more = stored(_near(rest.join(star, ["a", "b"], "left_anti"), reps, docs), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
