@@ -40,8 +40,8 @@ LOW48 = U64((1 << 48) - 1)
 COUNTERS, SLICE = 1 << 20, 1 << 14
 #: Bits of the filter that tells which documents' sets are needed; a bit shared by chance costs a set too many, never one too few.
 FILTER = 1 << 23
-#: Owners up to which a key's pairs are rows of a join; more of them meet in blocks of about so many.
-FEW, BLOCK = 8, 128
+#: Owners up to which a key's pairs are rows of a join; more of them meet in blocks of about so many, with sketches of so many words.
+FEW, BLOCK, WORDS = 16, 128, 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,14 +279,17 @@ def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link."""
+    """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link.
+
+    Documents of the largest component ask nothing: the others find them.
+    """
     for batch in batches:
         for k in range(batch.num_rows):
-            sides = [batch.column(x)[k].values for x in ("outside", "block")]
-            (ids, n, root), (other_ids, other_n, other_root) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root")] for x in sides)
+            sides = [batch.column(x)[k].values for x in ("asking", "block")]
+            (ids, n, root, out), (other_ids, other_n, other_root, _) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root", "out")] for x in sides)
             width = min(int(x.field("sketch").value_lengths().to_numpy(zero_copy_only=False).min()) for x in sides)
             own, other = (_folded(x.field("sketch"), width) for x in sides)
-            for i in range(len(ids)):
+            for i in np.flatnonzero(out):
                 ok = np.flatnonzero((other_root != root[i]) & (4 * np.minimum(n[i], other_n) >= 3 * np.maximum(n[i], other_n)))
                 ok = ok[np.bitwise_count(other[ok] ^ own[i]).sum(axis=1, dtype=np.int64) * 7 <= n[i] + other_n[ok]]
                 if len(ok):
@@ -295,8 +298,8 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _folded(sketch: pa.ListArray, width: int) -> np.ndarray:
     """Sketches as rows of a matrix, wider ones XORed down to the width."""
-    lengths, words = sketch.value_lengths().to_numpy(zero_copy_only=False), sketch.flatten().to_numpy(zero_copy_only=False)
-    out, start = np.zeros((len(lengths), width), np.int64), np.cumsum(lengths) - lengths
+    lengths, words = sketch.value_lengths().to_numpy(zero_copy_only=False), sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    out, start = np.zeros((len(lengths), width), np.uint64), np.cumsum(lengths) - lengths
     for w in np.unique(lengths):
         at = np.flatnonzero(lengths == w)
         out[at] = np.bitwise_xor.reduce(words[start[at][:, None] + np.arange(w)].reshape(len(at), w // width, width), axis=1)
@@ -306,15 +309,22 @@ def _folded(sketch: pa.ListArray, width: int) -> np.ndarray:
 def _crowded(keys: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidates (a, b) of keys with many owners, by blocks: only what passes the sketches becomes a row.
 
-    A key's owners are dealt into blocks by size class, as sets of classes further apart than one can't link, and by a hash
-    of their id, so that a block holds about BLOCK of them whatever the key's size; blocks meet pairwise.
+    A key of at most BLOCK owners is one block, which meets itself. The others' owners are dealt into blocks by size class, as
+    sets of classes further apart than one can't link, and by a hash of their id, so that a block holds about BLOCK of them
+    whatever the key's size; blocks meet pairwise. Sketches travel folded to WORDS words: that may pass a pair more, never one
+    fewer.
     """
+    folded = F.expr(f"if(size(sketch) <= {WORDS}, sketch, transform(sequence(0, {WORDS - 1}), i -> aggregate(sequence(0, size(sketch) div {WORDS} - 1), 0L, (x, k) -> x ^ sketch[k * {WORDS} + i])))")
+    own = F.struct("doc_id", "n", "root", (F.col("root") != F.col("largest")).alias("out"), "sketch").alias("own")
+    placed = keys.join(reps.select("doc_id", folded.alias("sketch")), "doc_id")
+    alone = placed.filter(F.col("owners") <= BLOCK).select("key", own).groupBy("key").agg(F.collect_list("own").alias("block")).select(F.col("block").alias("asking"), "block")
     size_class = F.floor(F.ln("n") / F.lit(float(np.log(4 / 3)))).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("owners") / BLOCK)).cast("int")
-    placed = keys.join(reps.select("doc_id", "sketch"), "doc_id").select("key", size_class.alias("class"), part.alias("part"), (F.col("root") != F.col("largest")).alias("out"), F.struct("doc_id", "n", "root", "sketch").alias("own"))
-    blocks = stored(placed.groupBy("key", "class", "part").agg(F.collect_list("own").alias("block"), F.collect_list(F.when(F.col("out"), F.col("own"))).alias("outside")), "blocks")
-    asking = blocks.filter(F.size("outside") > 0).select("key", F.explode(F.array([F.col("class") + k for k in (-1, 0, 1)])).alias("class"), "outside")
-    return asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("outside", "block").mapInArrow(_meeting, "a long, b long")
+    dealt = placed.filter(F.col("owners") > BLOCK).select("key", size_class.alias("class"), part.alias("part"), own)
+    blocks = stored(dealt.groupBy("key", "class", "part").agg(F.collect_list("own").alias("block")), "blocks")
+    asking = blocks.filter("exists(block, x -> x.out)").select("key", F.explode(F.array([F.col("class") + k for k in (-1, 0, 1)])).alias("class"), F.col("block").alias("asking"))
+    met = asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("asking", "block")
+    return alone.unionByName(met).mapInArrow(_meeting, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

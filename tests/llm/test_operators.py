@@ -75,6 +75,7 @@ def test_substring_dedup(docs, corpus, empty):
 @pytest.mark.parametrize("few", [8, 1])
 def test_jaccard_components(docs, corpus, empty, few, monkeypatch):
     monkeypatch.setattr("lexmill.llm.jaccard_join.FEW", few)  # with 1, all keys left open meet in blocks
+    monkeypatch.setattr("lexmill.llm.jaccard_join.BLOCK", 8 * few)
     base = [f"v{i}" for i in range(80)]
     near = [(1000 + i, " ".join(w if (k * 7 + i * 3) % 61 else f"z{i}" for k, w in enumerate(base)), "en", "a", 1, 0.5, "k", 1) for i in range(24)]
     corpus, docs = corpus + near, docs.unionByName(docs.sparkSession.createDataFrame(near, SCHEMA))
