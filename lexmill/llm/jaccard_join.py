@@ -281,11 +281,13 @@ def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link.
 
-    Documents of the largest component ask nothing: the others find them.
+    A block without a partner (asking null) meets itself. Documents of the largest component ask nothing: the others find them.
     """
     for batch in batches:
         for k in range(batch.num_rows):
-            sides = [batch.column(x)[k].values for x in ("asking", "block")]
+            block = batch.column("block")[k].values
+            asking = batch.column("asking")[k]
+            sides = [asking.values if asking.is_valid else block, block]
             (ids, n, root, out), (other_ids, other_n, other_root, _) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root", "out")] for x in sides)
             width = min(int(x.field("sketch").value_lengths().to_numpy(zero_copy_only=False).min()) for x in sides)
             own, other = (_folded(x.field("sketch"), width) for x in sides)
@@ -317,14 +319,14 @@ def _crowded(keys: DataFrame, reps: DataFrame) -> DataFrame:
     folded = F.expr(f"if(size(sketch) <= {WORDS}, sketch, transform(sequence(0, {WORDS - 1}), i -> aggregate(sequence(0, size(sketch) div {WORDS} - 1), 0L, (x, k) -> x ^ sketch[k * {WORDS} + i])))")
     own = F.struct("doc_id", "n", "root", (F.col("root") != F.col("largest")).alias("out"), "sketch").alias("own")
     placed = keys.join(reps.select("doc_id", folded.alias("sketch")), "doc_id")
-    alone = placed.filter(F.col("owners") <= BLOCK).select("key", own).groupBy("key").agg(F.collect_list("own").alias("block")).select(F.col("block").alias("asking"), "block")
+    alone = placed.filter(F.col("owners") <= BLOCK).select("key", own).groupBy("key").agg(F.collect_list("own").alias("block"))
     size_class = F.floor(F.ln("n") / F.lit(float(np.log(4 / 3)))).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("owners") / BLOCK)).cast("int")
     dealt = placed.filter(F.col("owners") > BLOCK).select("key", size_class.alias("class"), part.alias("part"), own)
     blocks = stored(dealt.groupBy("key", "class", "part").agg(F.collect_list("own").alias("block")), "blocks")
     asking = blocks.filter("exists(block, x -> x.out)").select("key", F.explode(F.array([F.col("class") + k for k in (-1, 0, 1)])).alias("class"), F.col("block").alias("asking"))
     met = asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("asking", "block")
-    return alone.unionByName(met).mapInArrow(_meeting, "a long, b long")
+    return alone.unionByName(met, allowMissingColumns=True).mapInArrow(_meeting, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
