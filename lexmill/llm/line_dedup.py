@@ -52,6 +52,11 @@ def _claims(n_buckets: int, claims: list[np.ndarray]) -> list[tuple]:
     return [(1, int(claims[0][i] % n_buckets), *(_squeezed(x[i:j]) for x in claims)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _earlier(ids: np.ndarray, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the lines at a come before those at b."""
+    return (ids[a] < ids[b]) | ((ids[a] == ids[b]) & (line[a] < line[b]))
+
+
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Word hashes; for each line that has words its first word (one more than lines), row and number in the row."""
     starts, ends, first = word_bounds(data, offsets)
@@ -89,7 +94,8 @@ def _described(n_buckets: int, bits: int, least_words: int, most: int = 2_000_00
         own = own[np.lexsort((line[own], ids[own], place[own], keys[own]))]
         head = np.r_[True, (keys[own][1:] != keys[own][:-1]) | (place[own][1:] != place[own][:-1])] if len(own) else np.zeros(0, bool)
         first = own[np.flatnonzero(head)][np.cumsum(head) - 1] if len(own) else own
-        later = ~head
+        # an entry of the same id and line is no earlier line but a repeated row's: it claims nothing and goes on to its bucket
+        later = ~head & _earlier(ids, line, first, own)
         rows = _claims(n_buckets, [x for at in (own[later], first[later]) for x in (ids[at], line[at], place[at])])
         gone = np.zeros(len(keys), bool)
         gone[own[later]] = True
@@ -150,7 +156,7 @@ def _met(n_buckets: int):
         rows = []
 
         def claim(later: np.ndarray, witness: np.ndarray) -> None:
-            keep = (ids[witness] < ids[later]) | ((ids[witness] == ids[later]) & (line[witness] < line[later]))
+            keep = _earlier(ids, line, witness, later)
             later, witness = later[keep], witness[keep]
             rows.extend(_claims(n_buckets, [x for at in (later, witness) for x in (ids[at], line[at], place[at])]))
 

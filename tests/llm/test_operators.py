@@ -60,6 +60,17 @@ def test_line_dedup(docs, corpus, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_are_no_witnesses_of_each_other(spark, parts):
+    import corpus_pipeline
+
+    once, twice = "a line of six words here", "b line of six other words now"
+    texts = [(1, once), (1, once), (2, twice + "\n" + once), (2, twice + "\n" + once), (3, twice + "\n" + twice)]
+    rows = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).repartition(parts)
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(rows).collect()) == [(1, 1, 0, once)] * 2 + [(2, 2, 1, twice)] * 2 + [(3, 2, 2, "")]
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.lines(spark, rows, "").collect()) == [(1, once, len(once))] * 2 + [(2, twice, len(twice))] * 2
+
+
 def test_substring_dedup(docs, corpus, empty):
     first, all_words = {}, {d: words_of(x) for d, x, *_ in corpus}
     for d in sorted(all_words):
