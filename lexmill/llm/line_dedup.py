@@ -3,7 +3,8 @@
 Each line emits its word sequence and all variants with one word deleted as hashed keys. Equal keys meet in a hash bucket:
 the full sequences of two lines (equal lines), variants with the same place deleted (one word replaced) or a full sequence and a
 variant (one word more or less). Each meeting names an earlier line as witness, whose variant is digested from its text and
-compared with the removed line's own before anything goes, so a chance meeting of hashes removes nothing.
+compared with the removed line's own before anything goes, so a chance meeting of hashes removes nothing. Keys travel with all
+their 64 bits: a key has one witness, and one met by chance would hide the true ones behind it.
 
 A chunk of rows sends one entry per key and deleted place, so a line that a third of all rows hold sends no more entries than
 there are chunks.
@@ -83,7 +84,7 @@ def variant_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> t
     return mix(np.r_[full, less]), np.r_[np.arange(len(lines)), of], np.r_[np.zeros(len(lines), np.int64), word - begin + 1]
 
 
-def _described(n_buckets: int, bits: int, least_words: int, most: int = 2_000_000):
+def _described(n_buckets: int, least_words: int, most: int = 2_000_000):
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, ids, line, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys)
@@ -101,7 +102,7 @@ def _described(n_buckets: int, bits: int, least_words: int, most: int = 2_000_00
         gone[own[later]] = True
         order = order[~gone[order]]
         docs = np.unique(ids)
-        table, low = _squeezed(np.diff(docs, prepend=0)), keys[order] >> U64(64 - bits)
+        table, low = _squeezed(np.diff(docs, prepend=0)), keys[order]
         bucket = ((keys[order] >> U64(32)) * U64(n_buckets)) >> U64(32)
         bounds = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
         doc = np.searchsorted(docs, ids[order])
@@ -243,9 +244,8 @@ def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str
     table gives an empty result. Other columns are not read.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), *keep, F.col(text_column).cast("string").alias("text"))
-    n_bytes = text_bytes(docs)
-    n_buckets, bits = buckets_for(n_bytes) | 1, min(60, max(36, n_bytes.bit_length() + 10))
-    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, bits, least_words), PACKED)
+    n_buckets = buckets_for(text_bytes(docs)) | 1
+    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, least_words), PACKED)
     met = packed.groupBy("kind", "bucket").applyInArrow(_met(n_buckets), PACKED)
     claims = stored(met.select("bucket", *"abcdef").groupBy("bucket").applyInArrow(_reduced, CLAIMS), "claims")
     bucket = lambda c: F.coalesce(F.pmod(F.col(c), F.lit(n_buckets)), F.lit(0)).cast("int").alias("bucket")

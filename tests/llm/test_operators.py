@@ -71,6 +71,12 @@ def test_repeated_rows_are_no_witnesses_of_each_other(spark, parts):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.lines(spark, rows, "").collect()) == [(1, once, len(once))] * 2 + [(2, twice, len(twice))] * 2
 
 
+def test_chance_witness_hides_no_true_one(spark):
+    chance, line = "w299 w955 w739 w951 w318 w22", "w503 w416 w739 w185 w312 w253"  # the top 36 bits of their keys are equal
+    rows = spark.createDataFrame([(1, chance), (2, line), (3, line)], "doc_id long, text string").repartitionByRange(3, "doc_id")
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(rows).collect()} == {1: 0, 2: 0, 3: 1}
+
+
 def test_substring_dedup(docs, corpus, empty):
     first, all_words = {}, {d: words_of(x) for d, x, *_ in corpus}
     for d in sorted(all_words):
