@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that have lost all their words so; n_chars follows."""
-    found = line_dedup(docs, keep=("lang", "source"))
+    """Repeated lines go, exact copies of short ones too, and documents that have lost all their words so; n_chars follows."""
+    found = line_dedup(docs, keep=("lang", "source"), exact_words=1)
     kept = found.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 

@@ -30,7 +30,7 @@ from .words import U64, buffers, mix, rows_of, slices, word_bounds, word_hashes
 PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in "abcdef"]])
 CLAIMS = "doc_id long, line long, place long, source_id long, source_line long, source_place long"
-BASE, COUNT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+BASE, COUNT, SHORT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
 _small, _large = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -84,7 +84,7 @@ def variant_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> t
     return mix(np.r_[full, less]), np.r_[np.arange(len(lines)), of], np.r_[np.zeros(len(lines), np.int64), word - begin + 1]
 
 
-def _described(n_buckets: int, least_words: int, most: int = 2_000_000):
+def _described(n_buckets: int, least_words: int, exact_words: int, most: int = 2_000_000):
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, ids, line, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys)
@@ -120,13 +120,17 @@ def _described(n_buckets: int, least_words: int, most: int = 2_000_000):
             data, offsets = buffers(batch.column("text"))
             for i, j in slices(offsets):
                 hashes, bounds, row, line = line_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lines = np.flatnonzero(np.diff(bounds) >= least_words)
-                if not len(lines):
-                    continue
-                # of equal lines of one document only the first has variants: whatever they show, it shows
-                keys, of, place = variant_keys(hashes, bounds, lines)
-                parts.append((keys, ids[i + row[lines[of]]], line[lines[of]], place))
-                held += len(keys)
+                size = np.diff(bounds)
+                lines, short = np.flatnonzero(size >= least_words), np.flatnonzero((size >= exact_words) & (size < least_words))
+                if len(lines):
+                    # of equal lines of one document only the first has variants: whatever they show, it shows
+                    keys, of, place = variant_keys(hashes, bounds, lines)
+                    parts.append((keys, ids[i + row[lines[of]]], line[lines[of]], place))
+                    held += len(keys)
+                if len(short):
+                    keys = variant_keys(hashes, bounds, short)[0][: len(short)] ^ SHORT  # meets no variant of a longer line
+                    parts.append((keys, ids[i + row[short]], line[short], np.zeros(len(short), np.int64)))
+                    held += len(keys)
                 if held >= most:
                     yield from flush(parts)
                     parts, held = [], 0
@@ -233,19 +237,20 @@ def _removed(docs: pa.Table, claims: pa.Table) -> pa.Table:
     return out
 
 
-def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 6, keep: tuple[str, ...] = (), exact_words: int | None = None) -> DataFrame:
     """Per row: doc_id, the columns in `keep`, n_lines, n_removed, kept_text (kept lines joined by a line feed).
 
     Lines end at line feeds; words are runs of other bytes than 0x20 and 0x09-0x0D. A line of at least `least_words` words goes
     if an earlier one (of a smaller id, or of the same id and further up) that is as long holds the same words, but for at most
     one inserted, deleted or replaced; lines are judged on the input, so a removed line still removes later ones. Shorter
-    lines stay. A null text has no lines and stays null, an empty one has one line. Rows without an id lose nothing and serve
+    lines stay, but those of at least `exact_words` words, if given, go too where an earlier line holds exactly the same words.
+    A null text has no lines and stays null, an empty one has one line. Rows without an id lose nothing and serve
     as no witness; rows that repeat an id with the same text are not earlier than each other, and each is returned. An empty
     table gives an empty result. Other columns are not read.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), *keep, F.col(text_column).cast("string").alias("text"))
     n_buckets = buckets_for(text_bytes(docs)) | 1
-    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, least_words), PACKED)
+    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, least_words, least_words if exact_words is None else exact_words), PACKED)
     met = packed.groupBy("kind", "bucket").applyInArrow(_met(n_buckets), PACKED)
     claims = stored(met.select("bucket", *"abcdef").groupBy("bucket").applyInArrow(_reduced, CLAIMS), "claims")
     bucket = lambda c: F.coalesce(F.pmod(F.col(c), F.lit(n_buckets)), F.lit(0)).cast("int").alias("bucket")

@@ -77,6 +77,30 @@ def test_chance_witness_hides_no_true_one(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(rows).collect()} == {1: 0, 2: 0, 3: 1}
 
 
+def test_pipeline_removes_exact_copies_of_short_lines(spark, docs, corpus):
+    import corpus_pipeline
+
+    menu = [(2000 + i, x, "en", "a", len(x), 0.5, "k", 1) for i, x in enumerate(["Home\nv1 v2 v3 v4 v5 v6", " Home \nv1 v2 v3 v4 v5\n\nAbout us", "About us", "About them\nHome\nv1 v2 v3 v4 v5", "home"])]
+    corpus, docs = corpus + menu, docs.unionByName(spark.createDataFrame(menu, SCHEMA))
+    near = lambda a, b: a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1) or (abs(len(a) - len(b)) == 1 and any(max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1 :] == min(a, b, key=len) for i in range(max(len(a), len(b)))))
+    short, long, want = set(), [], {}
+    for d, text, *_ in corpus:
+        kept = []
+        for x in text.split("\n") if text is not None else []:
+            w = words_of(x)
+            if not w or (tuple(w) not in short if len(w) < 6 else not any(near(w, y) for y in long)):
+                kept.append(x)
+            if len(w) < 6:
+                short.add(tuple(w))
+            else:
+                long.append(w)
+        left = "\n".join(kept) if text is not None else None
+        if left == text or words_of(left):
+            want[d] = left
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == want
+    assert (want[2001], want[2003], 2002 in want) == ("v1 v2 v3 v4 v5\n\nAbout us", "About them", False)
+
+
 def test_substring_dedup(docs, corpus, empty):
     first, all_words = {}, {d: words_of(x) for d, x, *_ in corpus}
     for d in sorted(all_words):
