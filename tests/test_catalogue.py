@@ -44,3 +44,14 @@ def test_budget_stops_at_the_first_misfit(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 1), (2, 1, 1)], "k int, o int, c int")
     kept = while_budget_lasts(df, ["k"], [F.col("o")], F.col("c"), 10).collect()
     assert sorted((r.k, r.o) for r in kept) == [(1, 1), (2, 1)]
+
+
+def test_calendar_follows_the_events(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    moved = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 DAYS"))
+    moved.write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{FOLDER}/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    got = catalogue.queries()["jn_full_dict_merge"](spark, str(tmp_path)).collect()
+    assert sum(r.requests for r in got) == moved.count()
+    assert (min(r.day for r in got), max(r.day for r in got)) == ("2025-02-02", "2025-03-08")
