@@ -29,7 +29,7 @@ def st_dup_scoped(t: Tables) -> DataFrame:
 
 @query("""WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 2)) AS e FROM embeddings) SELECT min(vec_id) AS first_id, count(*) AS copies FROM r GROUP BY e HAVING count(*) > 1""")
 def st_dup_vectors(t: Tables) -> DataFrame:
-    rounded = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("e"))
+    rounded = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("e"))
     return rounded.groupBy("e").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("e")
 
 

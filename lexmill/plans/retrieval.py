@@ -75,7 +75,9 @@ a AS (SELECT score AS threshold, coalesce(sum(bad) OVER (ORDER BY score ROWS BET
 SELECT threshold, round(correct / every, 6) AS accuracy FROM a ORDER BY correct DESC, threshold DESC LIMIT 1""")
 def e_threshold(t: Tables) -> DataFrame:
     scored = t.labels.join(t.documents, "doc_id").select((F.col("n_chars") / 20000.0).alias("score"), "toxic")
-    groups = scored.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("bad"))  # different scores of a labelled set
+    ends = scored.limit(1).select(F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("toxic"))  # thresholds that may be no score
+    scores = scored.withColumn("n", F.lit(1)).unionByName(ends)
+    groups = scores.groupBy("score").agg(F.sum("n").alias("n"), F.count_if((F.col("toxic") == 1) & (F.col("n") == 1)).alias("bad"))  # different scores of a labelled set
     below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     above = Window.orderBy("score").rowsBetween(0, Window.unboundedFollowing)
     correct = F.coalesce(F.sum("bad").over(below), F.lit(0)) + F.coalesce(F.sum(F.col("n") - F.col("bad")).over(above), F.lit(0))

@@ -55,3 +55,14 @@ def test_calendar_follows_the_events(spark, tmp_path):
     got = catalogue.queries()["jn_full_dict_merge"](spark, str(tmp_path)).collect()
     assert sum(r.requests for r in got) == moved.count()
     assert (min(r.day for r in got), max(r.day for r in got)) == ("2025-02-02", "2025-03-08")
+
+
+def test_threshold_one_refuses_all(spark, tmp_path):
+    spark.createDataFrame([(1, 100), (2, 400)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [tuple(r) for r in catalogue.queries()["e_threshold"](spark, str(tmp_path)).collect()] == [(1.0, 1.0)]
+
+
+def test_near_vectors_are_no_duplicates(spark, tmp_path):
+    spark.createDataFrame([(1, [0.501, 0.25]), (2, [0.502, 0.25]), (3, [0.5010000001, 0.25])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r.first_id, r.copies) for r in catalogue.queries()["st_dup_vectors"](spark, str(tmp_path)).collect()] == [(1, 2)]
