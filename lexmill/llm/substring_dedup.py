@@ -4,7 +4,8 @@ Every run of `window` words is an edge of a De Bruijn graph (from its first wind
 a hash bucket, where each repeated edge gets the coordinate of its first document. Back at their documents, edges that follow
 each other both there and at the source compact into paths (document, place, source document, source place, length); each
 distinct source path is digested once from the source's text, joined to the paths that claim it, and compared with the words
-themselves before any word goes.
+themselves before any word goes. No graph is built: nodes, degrees and compaction by joins are replaced by this merging of
+consecutive hits within a document, as only the first document of each edge decides what goes.
 
 Memory: a bucket holds the edges of about 6 MB of text; a task sends one entry per edge and first document, so an edge that a
 third of all rows share sends no more entries than there are tasks (and places within those documents).
