@@ -228,6 +228,16 @@ def test_images(docs, corpus, empty):
     assert progressive_jpeg.media_digests(empty).count() == 0
 
 
+def test_decoded_media(spark):
+    media = progressive_jpeg.encode_payload(bytes(range(64)) * 9)
+    rows = spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray()), (None, bytearray(media))], "doc_id long, media binary")
+    picture = progressive_jpeg.rgb(progressive_jpeg.decode_coefficients(media))
+    whole, none = (*picture.shape[:2], picture.tobytes()), (None, None, None)
+    got = {r.media_id: (r.height, r.width, r.rgb and bytes(r.rgb)) for r in progressive_jpeg.decode_media(rows).collect()}
+    assert got == {1: whole, 2: none, 3: none, None: whole}
+    assert progressive_jpeg.decode_media(rows.limit(0)).count() == 0
+
+
 def test_both_ways_of_reading_scans_agree():
     payload = np.random.default_rng(1).integers(0, 256, 64 * 9, dtype=np.uint8).tobytes()
     media = progressive_jpeg.encode_payload(payload)
