@@ -9,16 +9,18 @@ one of them. The order puts blocks first whose rarest shingle is rare in the cor
 texts), so passages that many documents share seldom make candidates. Small bands have a block for each hash. A set also makes
 candidates in the band above if a partner can be there.
 
-Equal keys are found in packed buckets. Candidates are joined in two rounds, each with size, Hamming (a dense parity sketch of two to four bits a shingle)
-and exact checks: first every set with the first document of its key; then, for keys whose documents are still in different
-components, those pairs between components that pass the Hamming check, which keys of many owners make block by block before
-any pair becomes a row. Pairs in one component aren't made, so a group of near copies costs links in proportion to its size, and
-no link that matters to a component is lost.
+Documents of equal sets form a class, found by the sets' digests, and only the first of a class has keys. Equal keys are found
+in packed buckets. Candidates are joined in three rounds, each with size, Hamming (a dense parity sketch of two to four bits a
+shingle) and exact checks: first every set with the first document of its key, in the task that made the keys and in the key's
+bucket; then, for keys of three owners or more whose documents are still in different components, first documents outside a
+crowded key's largest component with a few chosen ones of it, and at last all pairs between components
+that pass the Hamming check, which keys of many owners make block by block before any pair becomes a row. Pairs in one component
+aren't made, so a group of near copies costs links in proportion to its size, and no link that matters to a component is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +29,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import bucket_of, cut, planes, unplanes
-from .tables import buckets_for, stored, text_bytes
-from .words import GRAM_KEYS, LOWER, U64, buffers, grams, mix, rows_of, slices, word_bounds, word_hashes
+from .packed import bucket_of, planes, unplanes
+from .slots import has_slot, slots_of
+from .tables import buckets_for, stored
+from .words import GRAM_KEYS, LOWER, U64, buffers, give_back, grams, mix, rows_of, slices, word_bounds, word_hashes
 
 SHINGLE = 5
-PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
-PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in "abcde"]])
-FOUND = "kind int, doc_id long, n long, k1 long, k2 long, sketch array<long>"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "n", "k1", "k2")], ("sketch", pa.list_(pa.int64()))])
+DESCRIBED = "doc_id long, n long, k1 long, k2 long, sketch array<long>, slice int, part int, counts binary"
+DESCRIBED_ARROW = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "n", "k1", "k2")], ("sketch", pa.list_(pa.int64())), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+COUNTED = "slice int, part int, counts binary"
+#: Kinds: a key's first document in a task, with how many more it has there; keys of several documents in a task; pairs (first document, other one).
+KEYS, REPEATED, PAIRS = 0, 1, 2
+PACKED = "kind int, bucket int, a binary, b binary, c binary"
+PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in "abc"]])
+FOUND = "kind int, key long, doc_id long"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64())])
 LOW48 = U64((1 << 48) - 1)
-COUNTERS, SLICE = 1 << 20, 1 << 14
-#: Bits of the filter that tells which documents' sets are needed; a bit shared by chance costs a set too many, never one too few.
-FILTER = 1 << 23
+COUNTERS, SLICE = 1 << 23, 1 << 14
+TOP = U64(64 - 23)
+#: Parts that rows of one class, or pairs of one document, are dealt into for a join, so that none of them fills one task.
+SALTS = 64
 #: Owners up to which a key's pairs are rows of a join; more of them meet in blocks of about so many, with sketches of so many words.
 FEW, BLOCK, WORDS = 16, 128, 32
+#: Documents of a crowded key's largest component that the others are compared with before the blocks.
+LEADERS = 4
+#: Keys that a bucket holds, about.
+KEYS_EACH = 800_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,30 +83,47 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndar
         yield slice(i, j), *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents hold a shingle, by the top bits of its hash; a row for each slice of the counters."""
-    counts = np.zeros(COUNTERS, np.int64)
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: set size, digest and sketch; and how many documents hold a shingle, by the top bits of its hash:
+    a row for each slice of the counters.
+    """
+    counts, part = np.zeros(COUNTERS, np.int32), TaskContext.get().partitionId() // 256
     for batch in batches:
-        for _, keys, _ in _sets_of(batch):
-            counts += np.bincount((keys >> U64(44)).astype(np.int64), minlength=COUNTERS)
-    for k in range(COUNTERS // SLICE) if counts.any() else ():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": [planes(counts[k * SLICE : (k + 1) * SLICE])]})
+        for rows, keys, first in _sets_of(batch):
+            np.add.at(counts, (keys >> TOP).astype(np.int64), 1)
+            d1, d2 = _added(mix(keys + U64(1)), first), _added(mix(keys ^ U64(0x5851F42D4C957F2D)), first)
+            sketch, start = sketches(keys, first)
+            own = [pa.array(np.diff(first), pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(start.astype(np.int32), sketch.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], *own, *(pa.nulls(len(first) - 1, x.type) for x in list(DESCRIBED_ARROW)[5:])], schema=DESCRIBED_ARROW)
+    for k in range(COUNTERS // SLICE):
+        own = counts[k * SLICE : (k + 1) * SLICE]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x.type) for x in list(DESCRIBED_ARROW)[:5]), pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([planes(own)], pa.binary())], schema=DESCRIBED_ARROW)
+    give_back()
 
 
 def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(SLICE, np.int64)
     for x in table["counts"]:
         total += unplanes(x.as_py())
-    return pa.table({"slice": table["slice"][:1], "counts": [total.tobytes()]})
+    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "counts": [planes(total)]})
+
+
+def _octaves(table: pa.Table) -> pa.Table:
+    total = unplanes(_summed(table)["counts"][0].as_py())
+    return pa.table({"slice": table["slice"][:1], "octaves": [np.log2(total + 1).astype(np.int8).tobytes()], "total": [int(total.sum())]})
 
 
-def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """The counting sketch over all texts: 2^20 numbers, however large the corpus. It orders blocks; it never drops any."""
-    rows = docs.select("text").mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        counts[r[0] * SLICE : (r[0] + 1) * SLICE] = np.frombuffer(r[1], np.int64)
-    return counts
+def rarity_classes(slices: DataFrame) -> np.ndarray:
+    """For each top of a hash, how often shingles of that top occur, in octaves above the mean: 2^23 numbers, however large the
+    corpus, counted over all texts. They order blocks and never drop any. 256 tasks are summed, then the sums.
+    """
+    summed = slices.select("slice", "part", "counts").groupBy("slice", "part").applyInArrow(_summed, COUNTED).groupBy("slice").applyInArrow(_octaves, "slice int, octaves binary, total long")
+    octaves, every = np.zeros(COUNTERS, np.int8), 0
+    for k, x, total in summed.toLocalIterator():
+        octaves[k * SLICE : (k + 1) * SLICE] = np.frombuffer(x, np.int8)
+        every += total
+    return np.maximum(0, octaves - int(np.log2(every / COUNTERS + 1))).astype(np.int8)
 
 
 def most_apart(n: np.ndarray) -> np.ndarray:
@@ -104,7 +134,7 @@ def most_apart(n: np.ndarray) -> np.ndarray:
 def block_keys(keys: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the kept blocks and their rows. rarity: a class by the top bits of a hash, small for rare ones."""
     size = np.diff(first)
-    rare = rarity[(keys >> U64(44)).astype(np.int64)]
+    rare = rarity[(keys >> TOP).astype(np.int64)]
     band = np.where(size > 0, np.log2(np.maximum(size, 1)).astype(np.int64), -1)
     out_keys, out_rows = [], []
     for above in (0, 1):
@@ -169,115 +199,146 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PACKED_ARROW.types, strict=True)], schema=PACKED_ARROW)
 
 
-def _described(n_buckets: int, rarity, most: int = 1_500_000):
-    """Kinds of rows: 0 a key and its first document in the task, 1 keys repeated in the task, 2 documents, 3 documents without id."""
-
-    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        same = keys[1:] == keys[:-1]
-        later, shared = np.r_[False, same], np.r_[False, same] | np.r_[same, False]
-        rows = [(1, flush.turn % n_buckets, planes(_name(keys[shared], n_buckets)), planes(ids[shared]), None, None, None)] if shared.any() else []
-        flush.turn += 1
-        keys, ids = keys[~later], ids[~later]
-        order = np.lexsort((ids, bucket_of(keys, n_buckets)))
-        keys, ids = keys[order], ids[order]
-        order, bounds = cut(bucket_of(keys, n_buckets))
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in the order of keys and ids: the first of each key, and distinct pairs of its document and the key's others.
+
+    Of keys of more than two entries here, which the second round sees again, a document is paired with the earliest first alone.
+    """
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(new)
+    group = (np.cumsum(new) - 1)[~new]
+    a, b, two = ids[first][group], ids[~new], np.diff(np.r_[first, len(keys)])[group] == 2
+    order = np.lexsort((a, two, b))
+    a, b, two = a[order], b[order], two[order]
+    new_b = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
+    keep = np.where(two, np.r_[True, (a[1:] != a[:-1]) | new_b[1:] | ~two[:-1]], new_b) if len(b) else new_b
+    order = np.lexsort((b[keep], a[keep]))
+    return first, a[keep][order], b[keep][order]
+
+
+def _in_order(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Entries in the order of keys and ids, each once."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    once = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])] if len(keys) else np.zeros(0, bool)
+    return [keys[once], ids[once], *(x[order][once] for x in more)]
+
+
+def _keyed(n_buckets: int, rarity, most: int = 1_000_000):
+    def flush(parts: list[tuple], turn: int) -> Iterator[pa.RecordBatch]:
+        keys, ids = _in_order(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        first, a, b = _stars(keys, ids)
+        size = np.diff(np.r_[first, len(keys)])
+        shared = np.repeat(size > 1, size)
+        rows = [(PAIRS, turn % n_buckets, planes(np.diff(a, prepend=0)), planes(b), None), (REPEATED, turn % n_buckets, planes(_name(keys[shared], n_buckets)), planes(ids[shared]), None)] if len(a) else []
+        keys, ids, more = keys[first], ids[first], size - 1
+        bucket = bucket_of(keys, n_buckets)
+        order = np.lexsort((ids, bucket))
+        keys, ids, more, bucket = keys[order], ids[order], more[order], bucket[order]
+        bounds = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            rows.append((0, int(bucket_of(keys[i : i + 1], n_buckets)[0]), planes(keys[i:j] & LOW48), planes(np.diff(ids[i:j], prepend=0)), None, None, None))
+            rows.append((KEYS, int(bucket[i]), planes(keys[i:j] & LOW48), planes(np.diff(ids[i:j], prepend=0)), planes(more[i:j])))
         for k in range(0, len(rows), 64):
             yield _batch(rows[k : k + 64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        flush.turn = TaskContext.get().partitionId() * 31
+        parts, held, turn = [], 0, TaskContext.get().partitionId() * 31
         for batch in batches:
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for part, keys, first in _sets_of(batch):
-                own, ok, size = ids[part], known[part], np.diff(first)
-                d1, d2 = _added(mix(keys + U64(1)), first), _added(mix(keys ^ U64(0x5851F42D4C957F2D)), first)
-                sketch, start = sketches(keys, first)
-                flush.turn += 1
-                yield _batch([(2, flush.turn % n_buckets, planes(own[ok]), planes(size[ok]), planes(d1[ok].view(np.int64)), planes(d2[ok].view(np.int64)), sketch[np.repeat(ok, np.diff(start))].tobytes()), (3, flush.turn % n_buckets, planes(size[~ok]), None, None, None, None)])
                 keys, row = block_keys(keys, first, rarity.value)
-                keys, row = keys[ok[row]], row[ok[row]]
-                parts.append((keys, own[row]))
+                parts.append((keys, ids[part][row]))
                 held += len(keys)
                 if held >= most:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                    yield from flush(parts, turn)
+                    parts, held, turn = [], 0, turn + 1
         if held:
-            yield from flush(parts)
+            yield from flush(parts, turn)
+        give_back()
 
     return run
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Of a bucket: the keys that more than one task sent; other rows are unpacked."""
-    kind = table["kind"][0].as_py()
-    a, b, c, d, e = (table[x].to_pylist() for x in "abcde")
-    out = {x: None for x in FOUND_ARROW.names}
-    if kind == 0:
-        keys, ids = np.concatenate([unplanes(x) for x in a]), np.concatenate([np.cumsum(unplanes(x)) for x in b])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        same = keys[1:] == keys[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        bucket = np.int64(table["bucket"][0].as_py())
-        out |= {"k1": keys[shared] | (bucket << np.int64(48)), "doc_id": ids[shared]}
-    elif kind == 1:
-        out |= {"k1": np.concatenate([unplanes(x) for x in a]), "doc_id": np.concatenate([unplanes(x) for x in b])}
-    elif kind == 2:
-        out |= {x: np.concatenate([unplanes(y) for y in v]) for x, v in zip(("doc_id", "n", "k1", "k2"), (a, b, c, d), strict=True)}
-        out["sketch"] = pa.ListArray.from_arrays(_widths(out["n"]).astype(np.int32), np.frombuffer(b"".join(e), np.int64))
+    """Of a bucket: pairs of a key's first document and its others, and the entries of keys of three owners or more; other rows are unpacked."""
+    kind, bucket = table["kind"][0].as_py(), np.int64(table["bucket"][0].as_py())
+    a, b, c = (table[x].to_pylist() for x in "abc")
+    if kind == KEYS:
+        keys, ids, more = (np.concatenate([f(x) for x in v]) for f, v in ((unplanes, a), (lambda x: np.cumsum(unplanes(x)), b), (unplanes, c)))
+        order = np.argsort(keys)
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        keys, ids, more = _in_order(keys[order], ids[order], more[order])
+        first, x, y = _stars(keys, ids) if len(keys) else (np.zeros(0, np.int64),) * 3
+        size = np.diff(np.r_[first, len(keys)])
+        many = np.repeat(size + np.add.reduceat(more, first) > 2, size) if len(keys) else np.zeros(0, bool)
+        columns = [np.r_[np.full(len(x), PAIRS), np.full(int(many.sum()), REPEATED)], np.r_[x, keys[many] | (bucket << np.int64(48))], np.r_[y, ids[many]]]
     else:
-        out["n"] = np.concatenate([unplanes(x) for x in a])
-    n = len(next(v for v in out.values() if v is not None))
-    out["kind"] = np.full(n, 1 if kind == 0 else kind, np.int32)
-    return pa.table([pa.nulls(n, f.type) if out[f.name] is None else pa.array(out[f.name], f.type) for f in FOUND_ARROW], schema=FOUND_ARROW)
-
+        x, y = [unplanes(v) for v in a], np.concatenate([unplanes(v) for v in b])
+        columns = [np.full(len(y), kind), np.concatenate([np.cumsum(v) if kind == PAIRS else v for v in x]), y]
+    out = pa.table([pa.array(v, f.type) for v, f in zip(columns, FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
+    give_back()
+    return out
 
-def _set_rows(needed):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little").view(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy(zero_copy_only=False)]))
-            for part, keys, first in _sets_of(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.ListArray.from_arrays(first.astype(np.int32), keys.view(np.int64))], names=["doc_id", "shingles"])
 
-    return run
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, keys, first in _sets_of(batch):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.ListArray.from_arrays(first.astype(np.int32), keys.view(np.int64))], names=["doc_id", "shingles"])
+    give_back()
 
 
-def _slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER))
+def _with(pairs: DataFrame, end: str, other: str, table: DataFrame) -> DataFrame:
+    """Pairs joined with the table's row of one end; pairs that share that end are dealt into parts, each with its own copy of the row."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    return salted.join(salted.select(end, "salt").distinct().join(table, end), [end, "salt"]).drop("salt")
 
 
-def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The sets of the documents in `needed` (doc_id); a filter of fixed size spares the others the trip, so no text is shuffled."""
-    slots = needed.select((_slot("doc_id") + 1).alias("slot"))  # bitmap buckets count from 1
-    filled = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    bits = bytearray(FILTER // 8)
-    for bucket, part in filled:
-        bits[(bucket - 1) * 4096 : bucket * 4096] = part
-    wanted = docs.sparkSession.sparkContext.broadcast(bytes(bits))
-    return docs.filter("doc_id is not null").withColumn("slot", _slot("doc_id")).mapInArrow(_set_rows(wanted), "doc_id long, shingles array<long>")
+def _once(rows: DataFrame, repeated: DataFrame, row: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """row(rows), with one row for each id that the table `repeated` names; ids that aren't repeated need no shuffle for that."""
+    if repeated.isEmpty():
+        return row(rows)
+    slots = slots_of(repeated, "doc_id")
+    several = row(rows.filter(has_slot("doc_id", slots)))
+    least = several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in several.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
+    return row(rows.filter(~has_slot("doc_id", slots))).unionByName(least)
 
 
-def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b): those whose sets are similar enough. The sketches' distance goes first, then the sets themselves."""
+def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Of pairs (a, b), a stored table: those whose sets are similar enough. The sketches' distance goes first, then the sets."""
+    ids = lambda rows: slots_of(rows.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+    members = members.filter(has_slot("doc_id", ids(pairs)))
     side = lambda x: members.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
     fold = lambda x, y: F.expr(f"if(size({x}) > size({y}), {half(x)}, {x})")
     apart = F.aggregate(F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "close")
-    sets = stored(_sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
-    joined = close.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    sized = _with(pairs, "a", "b", side("a")).join(side("b"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    close = stored(sized.filter(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "close")
+    needed = docs.filter(has_slot("doc_id", ids(close)))
+    sets = stored(_once(needed, repeated, lambda rows: rows.mapInArrow(_set_rows, "doc_id long, shingles array<long>")), "sets")
+    joined = _with(close, "a", "b", sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"})).join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return joined.withColumn("both", both).filter("100 * both >= 75 * (n_a + n_b - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of keys (key, doc_id, owners): those whose owners are in several components, with each owner's root and the key's most frequent one."""
+    placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("x")).filter("roots > 1")
+    return _with(placed, "key", "doc_id", mixed.select("key", F.col("x.root").alias("largest")))
+
+
+def _led(keys: DataFrame) -> DataFrame:
+    """Pairs of the documents outside a key's largest component and some of that component, chosen by hashes of their ids.
+
+    They join what is near to most of a large group before all that is left open is compared.
+    """
+    chosen = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id"))["doc_id"] for i in range(LEADERS)]
+    leaders = keys.filter("root = largest").groupBy("key").agg(F.array(*chosen).alias("leaders"))
+    pairs = _with(keys.filter("root <> largest").select("key", "doc_id"), "key", "doc_id", leaders).select("doc_id", F.explode("leaders").alias("leader"))
+    return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link.
 
@@ -333,40 +394,53 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity 0.75 or more).
 
     Null and empty texts and texts without words have no shingles and are their own component. Rows without an id are
-    returned with component_id null. Repeated rows of one id are one document. An empty table gives an empty result. Other
-    columns are not read. Shingles are compared by 64-bit hashes.
+    returned with component_id null. Repeated rows of one id are one document; should their texts differ, the id counts with one
+    of them, the same in each run. An empty table gives an empty result. Other columns are not read. Shingles are compared by
+    64-bit hashes.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    n_buckets = buckets_for(text_bytes(docs, "text"))
-    counts = shingle_counts(docs)
-    usual = max(1.0, float(counts.mean()))
-    rarity = spark.sparkContext.broadcast(np.maximum(0, np.log2((counts + 1) / usual)).astype(np.int8))
-    found = stored(docs.mapInArrow(_described(n_buckets, rarity), PACKED).groupBy("kind", "bucket").applyInArrow(_met, FOUND), "found")
-    info = found.filter("kind = 2").select("doc_id", "n", "k1", "k2", "sketch")
-    classes = info.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stored(info.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep", F.when(F.expr("doc_id = rep"), F.col("sketch")).alias("sketch")), "members")
-    reps = members.filter("doc_id = rep").dropDuplicates(["doc_id"])
-    keys = stored(found.filter("kind = 1").select(F.col("k1").alias("key"), "doc_id").join(reps.select("doc_id", "n"), "doc_id").distinct(), "keys")
-
-    fits = "4 * least(n, other_n) >= 3 * greatest(n, other_n)"
-    leaders = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    star = keys.join(leaders.select("key", F.col("first.doc_id").alias("other"), F.col("first.n").alias("other_n")), "key").filter(f"doc_id <> other and {fits}").select(F.col("other").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = stored(star, "star")
-    links = stored(_near(star, reps, docs), "links")
+    described = stored(docs.mapInArrow(_described, DESCRIBED), "described")
+    info = described.filter("slice is null").select("doc_id", "n", "k1", "k2", "sketch")
+    rarity = spark.sparkContext.broadcast(rarity_classes(described.filter("slice is not null")))
+
+    # classes of equal sets; a class, however large, is met in parts
+    named = info.filter("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    part = named.groupBy("n", "k1", "k2", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    classes = part.groupBy("n", "k1", "k2").agg(F.min("least").alias("rep"), F.sum("m").alias("m")).filter("m > 1").drop("m")
+    in_parts = part.select("n", "k1", "k2", "salt").join(classes, ["n", "k1", "k2"])
+    tied = named.join(in_parts, ["n", "k1", "k2", "salt"]).filter("doc_id <> rep")
+    later = stored(tied.groupBy("doc_id").agg(F.min("rep").alias("rep")), "later")
+    slots = slots_of(later, "doc_id")
+    by_chance = stored(info.filter("doc_id is not null").select("doc_id").filter(has_slot("doc_id", slots)).join(later, "doc_id", "left_anti").distinct(), "slots")
+    firsts = docs.filter("doc_id is not null").filter(~has_slot("doc_id", slots) | has_slot("doc_id", slots_of(by_chance, "doc_id")))
+
+    n_keys = info.agg(F.coalesce(F.sum(F.col("n") / 3 + 1), F.lit(0))).first()[0]
+    n_buckets = buckets_for(int(n_keys), KEYS_EACH)
+    found = stored(firsts.mapInArrow(_keyed(n_buckets, rarity), PACKED).groupBy("kind", "bucket").applyInArrow(_met, FOUND), "found")
+    repeated = stored(named.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id"), "repeated")
+    reps = _once(named.select("doc_id", "n", "k1", "k2", "sketch"), repeated, lambda rows: rows).select("doc_id", "n", "sketch")
+    star = stored(found.filter(f"kind = {PAIRS}").select(F.col("key").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    links = stored(_near(star, reps, docs, repeated), "links")
     roots = components(links)
 
-    placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("owners"), F.max(F.struct("m", "root")).alias("largest")).filter("roots > 1")
-    open_keys = stored(placed.join(mixed.select("key", "owners", F.col("largest.root").alias("largest")), "key"), "open")
+    keys = found.filter(f"kind = {REPEATED}").select("key", "doc_id").distinct()
+    keys = stored(_with(keys, "key", "doc_id", keys.groupBy("key").agg(F.count("*").alias("owners")).filter("owners > 2")), "keys")
+    led = _led(_open(keys.filter(F.col("owners") > FEW), roots))
+    led = stored(led.join(star, ["a", "b"], "left_anti"), "led")
+    links = stored(links.unionByName(_near(led, reps, docs, repeated)), "links")
+    roots = components(links)
+
+    open_keys = stored(_open(keys, roots).join(reps.select("doc_id", "n"), "doc_id"), "open")
     few = open_keys.filter(F.col("owners") <= FEW)
     outside = few.filter("root <> largest").select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
-    rest = outside.join(few, "key").filter(f"root <> other_root and {fits}").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+    rest = outside.join(few, "key").filter("root <> other_root and 4 * least(n, other_n) >= 3 * greatest(n, other_n)").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
     rest = rest.unionByName(_crowded(open_keys.filter(F.col("owners") > FEW), reps)).distinct()
-    more = stored(_near(rest.join(star, ["a", "b"], "left_anti"), reps, docs), "links")
+    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    more = stored(_near(rest, reps, docs, repeated), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    tied = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    nameless = found.filter("kind = 3").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return tied.unionByName(nameless)
+    first = F.coalesce("rep", "doc_id")
+    ruled = info.select("doc_id", "n").join(later, "doc_id", "left").select("doc_id", "n", first.alias("node"))
+    return ruled.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))

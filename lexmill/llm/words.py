@@ -5,6 +5,7 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D. Texts stay UTF-8 bytes:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,14 @@ BYTE_KEYS = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * U64(2) + U64(1)
 GRAM_KEYS = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and would keep their highest use on top of the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64 bits."""
     x = x ^ (x >> U64(33))
