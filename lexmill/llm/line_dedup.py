@@ -1,4 +1,4 @@
-"""Line dedup: a line goes if an earlier line holds the same words, or the same but for one.
+"""Line dedup: a line goes if an earlier line holds the same words, or, from six words on, the same but for one.
 
 Each line emits its word sequence and all variants with one word deleted as hashed keys. Equal keys meet in a hash bucket:
 the full sequences of two lines (equal lines), variants with the same place deleted (one word replaced) or a full sequence and a
@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .packed import cut, planes, unplanes
 from .slots import has_slot, slots_of
 from .tables import buckets_for, stored, text_bytes
-from .words import U64, buffers, mix, rows_of, slices, word_bounds, word_hashes
+from .words import U64, buffers, give_back, mix, rows_of, slices, word_bounds, word_hashes
 
 PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(x, pa.binary()) for x in "abcdef"]])
@@ -84,14 +84,14 @@ def variant_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> t
     return mix(np.r_[full, less]), np.r_[np.arange(len(lines)), of], np.r_[np.zeros(len(lines), np.int64), word - begin + 1]
 
 
-def _described(n_buckets: int, least_words: int, exact_words: int, most: int = 2_000_000):
+def _described(n_buckets: int, least_words: int, exact_words: int, most: int = 1_200_000):
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, ids, line, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.argsort(keys)
         ranked = keys[order]
         same = ranked[1:] == ranked[:-1]
-        shared = np.r_[False, same] | np.r_[same, False] if len(keys) else np.zeros(0, bool)
-        own = order[shared]
+        own = order[np.r_[False, same] | np.r_[same, False] if len(keys) else np.zeros(0, bool)]
         own = own[np.lexsort((line[own], ids[own], place[own], keys[own]))]
         head = np.r_[True, (keys[own][1:] != keys[own][:-1]) | (place[own][1:] != place[own][:-1])] if len(own) else np.zeros(0, bool)
         first = own[np.flatnonzero(head)][np.cumsum(head) - 1] if len(own) else own
@@ -101,17 +101,17 @@ def _described(n_buckets: int, least_words: int, exact_words: int, most: int = 2
         gone = np.zeros(len(keys), bool)
         gone[own[later]] = True
         order = order[~gone[order]]
-        docs = np.unique(ids)
-        table, low = _squeezed(np.diff(docs, prepend=0)), keys[order]
-        bucket = ((keys[order] >> U64(32)) * U64(n_buckets)) >> U64(32)
-        bounds = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-        doc = np.searchsorted(docs, ids[order])
-        for k in range(n_buckets):
-            i, j = int(bounds[k]), int(bounds[k + 1])
-            if i < j:
-                rows.append((0, k, _squeezed(np.diff(low[i:j].view(np.int64), prepend=0)), _squeezed(doc[i:j]), _squeezed(line[order[i:j]]), _squeezed(place[order[i:j]]), table, None))
-        for k in range(0, len(rows), 64):
-            yield from _rows(rows[k : k + 64]).to_batches()
+        ranked = keys[order]
+        bounds = np.searchsorted(((ranked >> U64(32)) * U64(n_buckets)) >> U64(32), np.arange(n_buckets + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[k] : bounds[k + 1]]
+            docs, doc = np.unique(ids[own], return_inverse=True)
+            rows.append((0, int(k), _squeezed(np.diff(keys[own].view(np.int64), prepend=0)), _squeezed(doc), _squeezed(line[own]), _squeezed(place[own]), _squeezed(np.diff(docs, prepend=0)), None))
+            if len(rows) >= 64:
+                yield from _rows(rows).to_batches()
+                rows = []
+        if rows:
+            yield from _rows(rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -125,17 +125,18 @@ def _described(n_buckets: int, least_words: int, exact_words: int, most: int = 2
                 if len(lines):
                     # of equal lines of one document only the first has variants: whatever they show, it shows
                     keys, of, place = variant_keys(hashes, bounds, lines)
-                    parts.append((keys, ids[i + row[lines[of]]], line[lines[of]], place))
+                    parts.append((keys, ids[i + row[lines[of]]], line[lines[of]].astype(np.int32), place.astype(np.int32)))
                     held += len(keys)
                 if len(short):
                     keys = variant_keys(hashes, bounds, short)[0][: len(short)] ^ SHORT  # meets no variant of a longer line
-                    parts.append((keys, ids[i + row[short]], line[short], np.zeros(len(short), np.int64)))
+                    parts.append((keys, ids[i + row[short]], line[short].astype(np.int32), np.zeros(len(short), np.int32)))
                     held += len(keys)
                 if held >= most:
                     yield from flush(parts)
                     parts, held = [], 0
         if held:
             yield from flush(parts)
+        give_back()
 
     return run
 
@@ -149,8 +150,8 @@ def _met(n_buckets: int):
         for a, b, c, d, e in zip(*(table[x].to_pylist() for x in "abcde"), strict=True):
             keys.append(np.cumsum(_opened(a)))
             ids.append(np.cumsum(_opened(e))[_opened(b)])
-            line.append(_opened(c))
-            place.append(_opened(d))
+            line.append(_opened(c).astype(np.int32))
+            place.append(_opened(d).astype(np.int32))
         keys, ids, line, place = map(np.concatenate, (keys, ids, line, place))
         order = np.argsort(keys)
         ranked = keys[order]
@@ -180,6 +181,7 @@ def _met(n_buckets: int):
                     earliest[known] = other[at]
                     mine = mine[earliest[group[mine]] >= 0]
                     claim(mine, earliest[group[mine]])
+        give_back()
         return _rows(rows)
 
     return run
@@ -237,25 +239,25 @@ def _removed(docs: pa.Table, claims: pa.Table) -> pa.Table:
     return out
 
 
-def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 6, keep: tuple[str, ...] = (), exact_words: int | None = None) -> DataFrame:
+def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 6, keep: tuple[str, ...] = (), exact_words: int = 1) -> DataFrame:
     """Per row: doc_id, the columns in `keep`, n_lines, n_removed, kept_text (kept lines joined by a line feed).
 
     Lines end at line feeds; words are runs of other bytes than 0x20 and 0x09-0x0D. A line of at least `least_words` words goes
     if an earlier one (of a smaller id, or of the same id and further up) that is as long holds the same words, but for at most
     one inserted, deleted or replaced; lines are judged on the input, so a removed line still removes later ones. Shorter
-    lines stay, but those of at least `exact_words` words, if given, go too where an earlier line holds exactly the same words.
+    lines of at least `exact_words` words go where an earlier line holds exactly the same words; all other lines stay.
     A null text has no lines and stays null, an empty one has one line. Rows without an id lose nothing and serve
     as no witness; rows that repeat an id with the same text are not earlier than each other, and each is returned. An empty
     table gives an empty result. Other columns are not read.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), *keep, F.col(text_column).cast("string").alias("text"))
     n_buckets = buckets_for(text_bytes(docs)) | 1
-    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, least_words, least_words if exact_words is None else exact_words), PACKED)
+    packed = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_described(n_buckets, least_words, exact_words), PACKED)
     met = packed.groupBy("kind", "bucket").applyInArrow(_met(n_buckets), PACKED)
     claims = stored(met.select("bucket", *"abcdef").groupBy("bucket").applyInArrow(_reduced, CLAIMS), "claims")
     bucket = lambda c: F.coalesce(F.pmod(F.col(c), F.lit(n_buckets)), F.lit(0)).cast("int").alias("bucket")
     asked = claims.select("source_id", "source_line", "source_place").distinct()
-    sources = docs.filter(has_slot("doc_id", slots_of(asked, "source_id")))
+    sources = docs.filter(has_slot("doc_id", slots_of(claims, "source_id")))
     digests = sources.select(bucket("doc_id"), "doc_id", "text").groupBy("bucket").cogroup(asked.withColumn("bucket", bucket("source_id")).groupBy("bucket")).applyInArrow(_source_digests, "source_id long, source_line long, source_place long, digest binary")
     checked = claims.join(digests, ["source_id", "source_line", "source_place"]).select(bucket("doc_id"), "doc_id", "line", "place", "digest")
     schema = StructType([*docs.select("doc_id", *keep).schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])

@@ -4,27 +4,27 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
-#: A later line goes if an earlier one shares its words, or all but one deleted, inserted or replaced.
+#: A later line goes if an earlier one shares its words, or, both of 6 words or more, all but one deleted, inserted or replaced.
 LINES = rf"""
 WITH lines AS (
   SELECT doc_id, u.i - 1 AS line, u.t AS t, {_WORDS.format("u.t")} AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d,
        LATERAL (SELECT unnest(d.s) AS t, unnest(range(1, len(d.s) + 1)) AS i) u
 ), whole AS (
-  SELECT doc_id, line, w, row_number() OVER (ORDER BY doc_id, line) AS ord FROM lines WHERE len(w) >= 6
+  SELECT doc_id, line, w, row_number() OVER (ORDER BY doc_id, line) AS ord FROM lines WHERE len(w) >= 1
 ), full_keys AS (
-  SELECT array_to_string(w, ' ') AS k, min(ord) AS first FROM whole GROUP BY 1
+  SELECT array_to_string(w, ' ') AS k, len(w) AS n, min(ord) AS first FROM whole GROUP BY 1, 2
 ), variants AS (
   SELECT ord, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS k
-  FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS p FROM whole)
+  FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS p FROM whole WHERE len(w) >= 6)
 ), variant_keys AS (
   SELECT k, min(ord) AS first FROM variants GROUP BY 1
 ), place_keys AS (
   SELECT k, p, min(ord) AS first FROM variants GROUP BY 1, 2
 ), gone AS (
   SELECT l.ord FROM whole l JOIN full_keys f ON f.k = array_to_string(l.w, ' ') WHERE f.first < l.ord
-  UNION SELECT l.ord FROM whole l JOIN variant_keys v ON v.k = array_to_string(l.w, ' ') WHERE v.first < l.ord
-  UNION SELECT v.ord FROM variants v JOIN full_keys f ON f.k = v.k WHERE f.first < v.ord
+  UNION SELECT l.ord FROM whole l JOIN variant_keys v ON v.k = array_to_string(l.w, ' ') WHERE v.first < l.ord AND len(l.w) >= 6
+  UNION SELECT v.ord FROM variants v JOIN full_keys f ON f.k = v.k WHERE f.first < v.ord AND f.n >= 6
   UNION SELECT v.ord FROM variants v JOIN place_keys s ON s.k = v.k AND s.p = v.p WHERE s.first < v.ord
 ), judged AS (
   SELECT n.doc_id, n.line, n.t, g.ord IS NOT NULL AS removed
