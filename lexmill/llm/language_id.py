@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .characters import character_grams, letters
 from .packed import planes, unplanes
+from .words import give_back
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -98,6 +99,7 @@ def _scored(model):
                 best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             best[seen == 0] = len(prior)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(np.where(seen > 0, score, 0.0))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        give_back()
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
-from .tokens import encoder, gathered
+from .tokens import encoder, forget, gathered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -67,6 +67,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
             raw, at = memoryview(ids).cast("B"), (ends - size)[row] + start
             sums = [crc32(raw[4 * i : 4 * j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], schema=PIECES_ARROW)
+        forget(vocabulary)
 
     return run
 

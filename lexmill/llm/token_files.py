@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_folder, stored, temporary, text_bytes
-from .tokens import encoder, gathered
+from .tokens import encoder, forget, gathered
 
 ROUGH = "part int, ids binary, sizes binary, tokens binary, counts array<long>"
 ROUGH_ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("counts", pa.list_(pa.int64()))])
@@ -66,6 +66,7 @@ def _tokenized(vocabulary: str, bounds: np.ndarray, vocabulary_size: int):
                 if i < j:
                     own = tokens[first[i] : first[j]].view(np.uint8).reshape(-1, 2).T.tobytes()
                     yield pa.RecordBatch.from_pylist([{"part": part, "ids": ids[i:j].tobytes(), "sizes": sizes[i:j].tobytes(), "tokens": coder.compress(own)}], ROUGH_ARROW)
+        forget(vocabulary)
         if counts.any():
             yield pa.RecordBatch.from_pylist([{"part": -1, "counts": counts.tolist()}], ROUGH_ARROW)
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import give_back
+
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INNER = f"{_WHITE} {_WHITE}"
 _encoders: dict[str, Encoder] = {}
@@ -135,6 +137,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drops the pieces that the worker keeps; at the end of a task, as the next one of this worker may need the memory."""
+    encoder(path).store = _Store()
+    give_back()
+
+
 def gathered(batches, most_bytes: int = 6 << 20, text: str = "text"):
     """Arrow batches joined, or cut, to about most_bytes of text: a piece is looked up once for many rows, and few rows are held."""
     held, size = [], 0
