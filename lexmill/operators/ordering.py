@@ -29,12 +29,10 @@ def while_budget_lasts(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
 
 
 def capped(df: DataFrame, caps: Sequence[tuple[Sequence[str], int]], order: Sequence[Column]) -> DataFrame:
-    """At most n rows for each of several keys, all judged on the input."""
+    """At most n rows for each of several keys, one after the other: what an earlier cap refuses does not count for a later one."""
     out = df
-    for i, (keys, n) in enumerate(caps):
-        out = out.withColumn(f"_cap{i}", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= n)
-    for i in range(len(caps)):
-        out = out.filter(f"_cap{i}").drop(f"_cap{i}")
+    for keys, n in caps:
+        out = first_per_key(out, keys, order, n)
     return out
 
 

@@ -12,8 +12,8 @@ from .ordering import first_per_key
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf, terms): how often a term occurs, and how many different ones the document has."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words")).select("doc_id", F.size(F.array_distinct("words")).alias("terms"), F.explode("words").alias("term"))
-    return words.groupBy("doc_id", "terms", "term").agg(F.count("*").alias("tf"))
+    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return counts.join(counts.groupBy("doc_id").agg(F.count("*").alias("terms")), "doc_id")
 
 
 def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,8 +21,10 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_i
     of the document's different terms. An equi-join on terms; only pairs that share one are made.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = postings(docs, doc_id, text).join(asked, "term")
-    return found.groupBy("query_id", "doc_id").agg((F.sum(F.col("times") * (1 + F.log1p(F.col("tf").cast("double")))) / F.sqrt(F.first("terms").cast("double"))).alias("score"))
+    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    terms = counts.groupBy("doc_id").agg(F.count("*").alias("terms"))
+    sums = counts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * (1 + F.log1p(F.col("tf").cast("double")))).alias("total"))
+    return sums.join(terms, "doc_id").select("query_id", "doc_id", (F.col("total") / F.sqrt(F.col("terms").cast("double"))).alias("score"))
 
 
 def ranked(scores: DataFrame, score: str, tie: str, name: str) -> DataFrame:
@@ -60,3 +62,30 @@ def ranking_metrics(ranked_rows: DataFrame, relevant: DataFrame, k: int = 5) ->
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("wanted"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     rows = wanted.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.select("query_id", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("hits") / k, 6).alias("precision"), (F.col("hits") > 0).cast("int").alias("hit"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.coalesce(F.col("gain"), F.lit(0.0)) / ideal, 6).alias("ndcg"))
+
+
+def first_ranked(scores: DataFrame, depth: int, doc_id: str = "doc_id") -> DataFrame:
+    """Each query's first `depth` documents of positive score, with their rank; scores equal to 9 places tie, ties go to the smaller id."""
+    positive = scores.filter(F.col("score") > 0)
+    return first_per_key(positive, ["query_id"], [F.round("score", 9).desc(), F.col(doc_id)], depth, rank="rank")
+
+
+def fused_scores(rankings: dict[str, DataFrame], doc_id: str = "doc_id", k: int = 60) -> DataFrame:
+    """Of named rankings (query_id, doc_id, score, rank): their fusion, and each one's score, 0 where it lacks the document."""
+    rows = None
+    for name, r in rankings.items():
+        r = r.select("query_id", doc_id, "rank", "score", F.lit(name).alias("side"))
+        rows = r if rows is None else rows.unionByName(r)
+    own = [F.coalesce(F.max(F.when(F.col("side") == name, F.col("score"))), F.lit(0.0)).alias(name) for name in rankings]
+    return rows.groupBy("query_id", doc_id).agg(F.sum(1 / (k + F.col("rank"))).alias("fusion"), *own)
+
+
+def shared_grams(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, n: int, text: str = "text") -> DataFrame:
+    """Pairs (query_id, doc_id) that share n tokens in a row; only documents with a gram of a query take part in the join's output."""
+
+    def grams(df: DataFrame, i: str) -> DataFrame:
+        w = Window.partitionBy(i).orderBy("p").rowsBetween(0, n - 1)
+        rows = df.select(i, F.posexplode(tokens(F.col(text))).alias("p", "t")).select(i, F.array_join(F.collect_list("t").over(w), " ").alias("gram"), F.count("*").over(w).alias("m"))
+        return rows.filter(F.col("m") == n).select(i, F.xxhash64("gram").alias("h"), "gram").distinct()
+
+    return grams(docs, doc_id).join(grams(queries, query_id), ["h", "gram"]).select(query_id, doc_id).distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +33,42 @@ def vector_problem(v: Column, size: int) -> Column:
 def norm_statistics(df: DataFrame, vector: str, keys: tuple[str, ...] = ()) -> DataFrame:
     n = norm(F.col(vector))
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(f(n), 6).alias(f"{name}_norm") for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
+
+
+def _first_of(k: int, asked, query_id: str, row_id: str, vector: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = asked.value
+        best = pd.DataFrame({query_id: [], row_id: [], "score": []}).astype({query_id: "int64", row_id: "int64", "score": "float64"})
+        for rows in batches:
+            rows = rows[[v is not None and len(v) == wanted.shape[1] for v in rows[vector]]]
+            if len(rows):
+                own = np.stack(rows[vector].to_numpy()).astype(np.float64)
+                length = np.sqrt((own * own).sum(1))[None, :] * np.sqrt((wanted * wanted).sum(1))[:, None]
+                score = np.divide(wanted @ own.T, length, out=np.zeros_like(length), where=length > 0)
+                new = pd.DataFrame({query_id: np.repeat(names, len(rows)), row_id: np.tile(rows[row_id].to_numpy(), len(names)), "score": score.ravel()})
+                best = pd.concat([best, new]).assign(r=lambda x: x["score"].round(9)).sort_values(["r", row_id], ascending=[False, True]).drop(columns="r").groupby(query_id).head(k)
+        yield best
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int, block: int = 512) -> DataFrame:
+    """(query_id, row_id, score): candidates that hold each query's k largest cosines over all rows, at most k from each partition.
+
+    Queries go out in blocks of a fixed number; rows without a vector of their length take no part, zero vectors score 0.
+    """
+    spark, held, found = rows.sparkSession, [], None
+    schema = f"{query_id} long, {row_id} long, score double"
+    rows = rows.select(row_id, vector)
+
+    def answered(part: list) -> DataFrame:
+        asked = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.float64)))
+        return rows.mapInPandas(_first_of(k, asked, query_id, row_id, vector), schema)
+
+    for r in queries.select(query_id, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            found, held = answered(held) if found is None else found.unionByName(answered(held)), []
+    if held:
+        found = answered(held) if found is None else found.unionByName(answered(held))
+    return spark.createDataFrame([], schema) if found is None else found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import words
 from lexmill.functions.numbers import ratio
 from lexmill.functions.words import collapsed, fingerprint, lines, token_count, tokens, word_list
 from lexmill.operators import ordering, sets, vectors
@@ -27,7 +28,7 @@ def st_dup_scoped(t: Tables) -> DataFrame:
     return groups.groupBy("lang").agg(ratio(F.sum(F.col("n") - 1), F.sum("n")).alias("rate"))
 
 
-@query("""WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 2)) AS e FROM embeddings) SELECT min(vec_id) AS first_id, count(*) AS copies FROM r GROUP BY e HAVING count(*) > 1""")
+@query("""WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS e FROM embeddings) SELECT min(vec_id) AS first_id, count(*) AS copies FROM r GROUP BY e HAVING count(*) > 1""")
 def st_dup_vectors(t: Tables) -> DataFrame:
     rounded = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("e"))
     return rounded.groupBy("e").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("e")
@@ -106,9 +107,9 @@ def src_chunk_validate(t: Tables) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT doc_id, {COLLAPSED} AS collapsed FROM documents WHERE lang = 'es'""")
+@query(f"""SELECT doc_id, {COLLAPSED} AS collapsed FROM documents""")
 def tx_collapse(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'es'").select("doc_id", collapsed(F.col("text")).alias("collapsed"))
+    return t.documents.select("doc_id", collapsed(F.col("text")).alias("collapsed"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS tokens FROM documents""")
@@ -137,10 +138,11 @@ def tx_margin_noise(t: Tables) -> DataFrame:
     return found.groupBy("signature").agg(F.count("*").alias("pages")).filter("pages >= 3")
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM w WHERE length(term) > 3 GROUP BY 1, 2) SELECT doc_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS k FROM c) WHERE k <= 5""")
+@query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 3 AND NOT list_contains([{", ".join(f"'{x}'" for x in words.STOP_WORDS)}], x)) AS terms, list_transform(regexp_extract_all(lower(coalesce(text, '')), '\b\d+(?:[.,]\d+)?\b'), lambda x: replace(x, ',', '.')) AS numbers FROM documents),
+u AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(terms), lambda x: list_position(terms, x))), lambda i: terms[i]) AS terms, list_transform(list_sort(list_transform(list_distinct(numbers), lambda x: list_position(numbers, x))), lambda i: numbers[i]) AS numbers FROM w)
+SELECT doc_id, array_to_string(list_concat(terms[1:32], list_filter(numbers, lambda x: NOT list_contains(terms[1:32], x))), ' ') AS terms FROM u""")
 def tx_key_terms(t: Tables) -> DataFrame:
-    counts = t.documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).filter("length(term) > 3").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return ordering.first_per_key(counts, ["doc_id"], [F.desc("n"), F.col("term")], 5)
+    return t.documents.select("doc_id", F.array_join(words.key_terms(F.col("text")), " ").alias("terms"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), v AS (SELECT doc_id, len(list_intersect(w, ['the', 'and', 'of', 'is', 'to'])) AS en, len(list_intersect(w, ['der', 'die', 'und', 'das', 'nicht'])) AS de FROM w) SELECT doc_id, CAST(en AS INTEGER) AS en, CAST(de AS INTEGER) AS de, CASE WHEN de > en THEN 'de' ELSE 'en' END AS vote FROM v""")
@@ -187,8 +189,8 @@ def ui_facets(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, u.i AS i, u.t AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE lang = 'de') d, LATERAL (SELECT unnest(d.s) AS t, unnest(range(1, len(d.s) + 1)) AS i) u), f AS (SELECT doc_id, i, trim(t) AS t, lead(trim(t)) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l WHERE trim(t) <> '') SELECT doc_id, CAST(i AS INTEGER) AS i, coalesce(length(next) < 40, false) AS heading_follows FROM f""")
+@query(r"""WITH l AS (SELECT doc_id, u.i AS i, u.t AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, LATERAL (SELECT unnest(d.s) AS t, unnest(range(1, len(d.s) + 1)) AS i) u), f AS (SELECT doc_id, i, trim(t) AS t, lead(trim(t)) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l WHERE trim(t) <> '') SELECT doc_id, CAST(i AS INTEGER) AS i, coalesce(length(next) < 40, false) AS heading_follows FROM f""")
 def wn_toc_lookahead(t: Tables) -> DataFrame:
-    rows = t.documents.filter("lang = 'de'").select("doc_id", F.posexplode(lines(F.col("text"))).alias("p", "t")).filter(F.trim("t") != "")
+    rows = t.documents.select("doc_id", F.posexplode(lines(F.col("text"))).alias("p", "t")).filter(F.trim("t") != "")
     w = Window.partitionBy("doc_id").orderBy("p")
     return rows.select("doc_id", (F.col("p") + 1).alias("i"), F.coalesce(F.length(F.lead(F.trim("t")).over(w)) < 40, F.lit(False)).alias("heading_follows"))

@@ -183,9 +183,9 @@ def wn_memory_budget(t: Tables) -> DataFrame:
     return ordering.while_budget_lasts(rows, ["conv_id"], [F.desc("turn"), F.col("role"), F.col("text")], F.col("cost"), 1800).select("conv_id", "turn", "cost")
 
 
-@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS b FROM orders) WHERE a <= 3 AND b <= 2""")
+@query("""WITH inner_cap AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS b FROM orders), kept AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a FROM inner_cap WHERE b <= 2) SELECT o_custkey, o_orderkey FROM kept WHERE a <= 3""")
 def wn_cap_per_key(t: Tables) -> DataFrame:
-    return ordering.capped(t.orders, [(["o_custkey"], 3), (["o_custkey", "o_orderstatus"], 2)], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+    return ordering.capped(t.orders, [(["o_custkey", "o_orderstatus"], 2), (["o_custkey"], 3)], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
 @query("""SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderkey) AS k FROM orders) WHERE k <= 25""")
@@ -274,13 +274,6 @@ def o_alert_rules(t: Tables) -> DataFrame:
     return b.select("hour", F.explode(F.array_compact(rules)).alias("rule"))
 
 
-@query("""SELECT user_id, CAST(floor(epoch(ts - first) / 3600) AS BIGINT) AS win, count(*) AS n, greatest(0, count(*) - 3) AS refused FROM (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id) AS first FROM events) GROUP BY 1, 2""")
-def o_rate_limit(t: Tables) -> DataFrame:
-    first = t.events.groupBy("user_id").agg(F.min("ts").alias("first"))
-    win = F.floor(F.timestamp_diff("MICROSECOND", F.col("first"), F.col("ts")) / 3_600_000_000).alias("win")
-    return t.events.join(first, "user_id").groupBy("user_id", win).agg(F.count("*").alias("n"), F.greatest(F.lit(0), F.count("*") - 3).alias("refused"))
-
-
 @query("""SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, CAST(sum(value) AS DOUBLE) AS used, greatest(0, 500 - sum(value)) AS remaining FROM events GROUP BY 1, 2""")
 def o_quota_snapshot(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sum("value").alias("used"), F.greatest(F.lit(0.0), 500 - F.sum("value")).alias("remaining"))
