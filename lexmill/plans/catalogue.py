@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, operations, retrieval  # noqa: F401  registers their queries
+from . import corpus, lookups, operations, ranking, retrieval  # noqa: F401  registers their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "r_rrf"
