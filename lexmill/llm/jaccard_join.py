@@ -120,7 +120,7 @@ def rarity_classes(slices: DataFrame) -> np.ndarray:
     """
     summed = slices.select("slice", "part", "counts").groupBy("slice", "part").applyInArrow(_summed, COUNTED).groupBy("slice").applyInArrow(_octaves, "slice int, octaves binary, total long")
     octaves, every = np.zeros(COUNTERS, np.int8), 0
-    for k, x, total in summed.toLocalIterator():
+    for k, x, total in summed.collect():
         octaves[k * SLICE : (k + 1) * SLICE] = np.frombuffer(x, np.int8)
         every += total
     return np.maximum(0, octaves - int(np.log2(every / COUNTERS + 1))).astype(np.int8)
@@ -307,20 +307,30 @@ def _once(rows: DataFrame, repeated: DataFrame, row: Callable[[DataFrame], DataF
 def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Of pairs (a, b), a stored table: those whose sets are similar enough. The sketches' distance goes first, then the sets."""
     ids = lambda rows: slots_of(rows.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    members = members.filter(has_slot("doc_id", ids(pairs)))
+    paired = ids(pairs)
+    members = members.filter(has_slot("doc_id", paired))
     side = lambda x: members.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
     fold = lambda x, y: F.expr(f"if(size({x}) > size({y}), {half(x)}, {x})")
     apart = F.aggregate(F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sized = _with(pairs, "a", "b", side("a")).join(side("b"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     close = stored(sized.filter(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "close")
-    needed = docs.filter(has_slot("doc_id", ids(close)))
+    paired.destroy()
+    paired = ids(close)
+    needed = docs.filter(has_slot("doc_id", paired))
     sets = stored(_once(needed, repeated, lambda rows: rows.mapInArrow(_set_rows, "doc_id long, shingles array<long>")), "sets")
+    paired.destroy()
     joined = _with(close, "a", "b", sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"})).join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return joined.withColumn("both", both).filter("100 * both >= 75 * (n_a + n_b - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _different(keys: DataFrame) -> DataFrame:
+    """Of keys of three owners or more: one for each set of owners (told by their number and 128 bits), as the others make the same pairs."""
+    owned = keys.groupBy("key").agg(F.count("*").alias("owners"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"))
+    return owned.filter("owners > 2").groupBy("owners", "h1", "h2").agg(F.min("key").alias("key")).select("key", "owners")
+
+
 def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """Of keys (key, doc_id, owners): those whose owners are in several components, with each owner's root and the key's most frequent one."""
     placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -413,11 +423,14 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     later = stored(tied.groupBy("doc_id").agg(F.min("rep").alias("rep")), "later")
     slots = slots_of(later, "doc_id")
     by_chance = stored(info.filter("doc_id is not null").select("doc_id").filter(has_slot("doc_id", slots)).join(later, "doc_id", "left_anti").distinct(), "slots")
-    firsts = docs.filter("doc_id is not null").filter(~has_slot("doc_id", slots) | has_slot("doc_id", slots_of(by_chance, "doc_id")))
+    firsts_too = slots_of(by_chance, "doc_id")
+    firsts = docs.filter("doc_id is not null").filter(~has_slot("doc_id", slots) | has_slot("doc_id", firsts_too))
 
     n_keys = info.agg(F.coalesce(F.sum(F.col("n") / 3 + 1), F.lit(0))).first()[0]
     n_buckets = buckets_for(int(n_keys), KEYS_EACH)
     found = stored(firsts.mapInArrow(_keyed(n_buckets, rarity), PACKED).groupBy("kind", "bucket").applyInArrow(_met, FOUND), "found")
+    for broadcast in (rarity, slots, firsts_too):
+        broadcast.destroy()
     repeated = stored(named.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id"), "repeated")
     reps = _once(named.select("doc_id", "n", "k1", "k2", "sketch"), repeated, lambda rows: rows).select("doc_id", "n", "sketch")
     star = stored(found.filter(f"kind = {PAIRS}").select(F.col("key").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
@@ -425,7 +438,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     roots = components(links)
 
     keys = found.filter(f"kind = {REPEATED}").select("key", "doc_id").distinct()
-    keys = stored(_with(keys, "key", "doc_id", keys.groupBy("key").agg(F.count("*").alias("owners")).filter("owners > 2")), "keys")
+    keys = stored(_with(keys, "key", "doc_id", _different(keys)), "keys")
     led = _led(_open(keys.filter(F.col("owners") > FEW), roots))
     led = stored(led.join(star, ["a", "b"], "left_anti"), "led")
     links = stored(links.unionByName(_near(led, reps, docs, repeated)), "links")
