@@ -62,10 +62,13 @@ def marker(line: Column, most: int = 999) -> Column:
     text), paragraph, letter, considerans, resolution, and an article that follows a sentence's end within the line. provenance:
     normalized if the line was mended, else standalone or inline.
     """
-    fixed = marker_line(line)
+    mended = F.transform(F.array(F.struct(marker_line(line).alias("fixed"), collapsed(line).alias("flat"))), lambda x: _marker(x["fixed"], x["fixed"] != x["flat"], most))  # the line is mended once
+    return mended[0]
+
+
+def _marker(fixed: Column, changed: Column, most: int) -> Column:
     part = lambda pattern, k: F.regexp_extract(fixed, pattern, k)
     bare = lambda x: F.regexp_replace(x, r"^[ .:]+|[ .:]+$", "")
-    changed = fixed != collapsed(line)
     found = lambda kind, label, trailing, otherwise="standalone": F.struct(F.lit(kind).alias("kind"), label.alias("label"), trailing.alias("trailing"), F.when(changed, "normalized").otherwise(otherwise).alias("provenance"))
     chapter, section, subsection = r"^(?i:BAB)\s+((?i:[IVXLCDM]+[A-Z]?))\b\s*(.*)$", r"^(?i:Bagian)\s+(.+)$", r"^(?i:Paragraf)\s+(.+)$"
     article, paragraph, letter = r"^Pasal\s+(\d+)([A-Z])?(?![a-z])(.*)$", r"^\(([0-9]+)\)\s*(.*)$", r"^([A-Za-z])\.\s+(.+)$"
