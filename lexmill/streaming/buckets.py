@@ -38,3 +38,15 @@ def trailing(requests: DataFrame, time: str, error: Column, minutes: int, late:
     per_minute = timed.groupBy(F.window(time, "1 minute").alias("m")).agg(F.count("*").alias("n"), F.count_if(error).alias("e"))
     slid = per_minute.groupBy(F.window(F.window_time("m"), f"{minutes} minutes", "1 minute").alias("w")).agg(F.sum("n").alias("requests"), F.sum("e").alias("errors"))
     return slid.select(F.col("w.end").alias("until"), "requests", "errors", F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"))
+
+
+def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Runs of a key's events less than the gap apart: (key, first, until, events); until is the last event's time plus the gap.
+
+    Rows without a time or key go. On a stream, give `late`.
+    """
+    timed = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
+    if late:
+        timed = timed.withWatermark(time, late)
+    out = timed.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("events"))
+    return out.select(key, F.col("w.start").alias("first"), F.col("w.end").alias("until"), "events")
