@@ -186,11 +186,11 @@ def _sample_features(terms):
 
 def train_toxicity(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 250) -> ToxicityModel:
     """From documents (doc_id, text) and labels (doc_id, toxic 0 or 1). At most `most_rows` labels are used, those of the smallest
-    hash of doc_id; null labels are left out. Without toxic rows all scores are near 0. No text is shuffled: the chosen labels,
+    hash of doc_id; null labels are left out, and a doc_id with different labels counts as toxic. Without toxic rows all scores are near 0. No text is shuffled: the chosen labels,
     most_rows of them at most, go to the documents.
     """
     spark = documents.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labels")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     sample = stored(rows.select("text", "toxic"), "sample")

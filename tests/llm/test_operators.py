@@ -164,6 +164,12 @@ def test_token_files(docs, corpus, empty):
     assert token_files.token_file_digests(empty, queries.vocabulary()).count() == 0
 
 
+def test_rows_of_one_id_are_ordered_by_their_tokens(spark):
+    texts = [(7, "we saw the cat"), (7, "we saw the dog"), (7, "we saw the sun"), (9, None), (None, "x")]
+    found = [sorted(map(tuple, token_files.token_file_digests(spark.createDataFrame(t, "doc_id long, text string").coalesce(1), queries.vocabulary()).filter("doc_id is not null").select("doc_id", "start", "n_tokens", "ids_crc32").collect())) for t in (texts, texts[2::-1] + texts[3:])]
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
 def test_variable_length_coding():
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     assert (token_files.unpack(*token_files.pack(values), len(values)) == values).all()
@@ -286,3 +292,14 @@ def test_toxicity(spark, docs, empty):
         assert r.predicted == int(r.doc_id % 4 == 0) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     assert toxicity.toxicity(docs, labels.limit(0)).filter(F.col("score").between(0, 1)).count() == docs.count()
     assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_a_document_with_different_labels_is_toxic(spark):
+    rows = spark.createDataFrame([(i, ("you idiot and moron " if i % 2 else "a kind and calm word ") * 3) for i in range(60)], "doc_id long, text string")
+    labels = [(i, int(i % 2)) for i in range(60)]
+    found = []
+    for more in ([(i, 0) for i in range(1, 60, 2)], []):
+        for order in (1, -1):
+            frame = spark.createDataFrame((labels + more)[::order], "doc_id long, toxic int").coalesce(1)
+            found.append(sorted((r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(rows, frame).collect()))
+    assert all(x == found[0] for x in found)
