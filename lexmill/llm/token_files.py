@@ -12,6 +12,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,7 +90,11 @@ def _coded(rank_of, end_id: int):
         ids, sizes, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = np.cumsum(sizes) - sizes
         head = tokens[np.minimum(first, max(len(tokens) - 1, 0))].astype(np.int64) if len(tokens) else sizes
-        order = np.lexsort((head, sizes, ids))  # rows that share an id: the shorter text first
+        _, same, rows = np.unique(ids, return_inverse=True, return_counts=True)
+        tie = np.zeros(len(ids), np.uint64)
+        for k in np.flatnonzero(rows[same] > 1):
+            tie[k] = xxhash.xxh3_64_intdigest(tokens[first[k] : first[k] + sizes[k]].tobytes())
+        order = np.lexsort((tie, head, sizes, ids))  # rows that share an id: the shorter text first, then by their tokens
         shard, out, i = table["part"][0].as_py(), [], 0
         ends = np.cumsum(sizes[order] + 1)
         while i < len(order):
