@@ -70,7 +70,7 @@ def mix_sources(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
     Complete epochs of a source come first; the rest of its target goes to the documents with the smallest keys, whole ones,
     the last of them only if that brings the source nearer to its target. Null sizes count as 0 and are never taken; null
-    or non-positive qualities count as 0.05; equal keys go by doc_id and digest, and what is equal in all is taken alike. No
+    or non-positive qualities count as 0.05; equal keys go by doc_id and digest; of rows equal in all it is fixed how many are taken, not which. No
     source meets in one task: keys fall into bins of about BIN_ROWS rows, sums of bins come first, and only the bin in which a
     budget ends is sorted.
     """
