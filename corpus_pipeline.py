@@ -43,9 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them; those it doesn't take go."""
+    """Documents come as often as the mix takes them, rows equal in all alike; those it doesn't take go."""
     mixed = mix_sources(measured(docs)).filter("taken > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("digest").alias("x")).agg(F.first(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = mixed.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("digest").alias("x")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.xxhash64("text") == F.col("x"))
     return docs.join(times, same).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
