@@ -92,5 +92,5 @@ def _marker(fixed: Column, changed: Column, most: int) -> Column:
         .when(fixed.rlike(letter), found("letter", F.lower(part(letter, 1)), F.trim(part(letter, 2))))
         .when(fixed.rlike(r"^(?i:Menimbang|Mengingat)\b"), found("considerans", first_word, fixed))
         .when(fixed.rlike(r"^(MEMUTUSKAN|Menetapkan)\b"), found("resolution", F.upper(first_word), fixed))
-        .when(fixed.rlike(inline), found("article", number(inline), bare(part(inline, 3)), "inline"))
+        .when(fixed.contains("Pasal") & fixed.rlike(inline), found("article", number(inline), bare(part(inline, 3)), "inline"))
     )
