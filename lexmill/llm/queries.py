@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_to_every
+from .fill_in_middle import fill_in_middle, restored
+from .filter_audit import filter_audit
 from .jaccard_join import jaccard_components
 from .language_id import identified
 from .line_dedup import line_dedup
@@ -16,15 +18,16 @@ from .packing import best_fit_packing, document_pieces
 from .progressive_jpeg import media_digests
 from .substring_dedup import substring_dedup
 from .tables import stored
+from .token_counts import token_counts
 from .token_files import token_file_digests
 from .toxicity import toxicity
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The tokenizer file of the queries; the operators take any."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -72,7 +75,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(pieces)
 
 
-QUERIES = (op1_line_dedup, op2_substring_dedup, op3_progressive_jpeg, op4_toxicity, op5_jaccard_join, op6_mixing, op7_token_files, op8_nearest, op9_language_id, op10_best_fit_packing)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir))
+    again = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again.alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = (op1_line_dedup, op2_substring_dedup, op3_progressive_jpeg, op4_toxicity, op5_jaccard_join, op6_mixing, op7_token_files, op8_nearest, op9_language_id, op10_best_fit_packing, op11_fill_in_middle, op12_filter_audit, op13_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

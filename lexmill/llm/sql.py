@@ -74,4 +74,64 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op1_line_dedup": LINES, "op2_substring_dedup": PASSAGES}
+#: Units as a list, cut at places drawn from the id; the restored text is the text.
+MIDDLES = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT)) AS r FROM d
+), cut AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+              WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+#: Every order and step by plain conditions on the five failures.
+AUDIT = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), first AS (
+  SELECT t, min(doc_id) AS f FROM d GROUP BY t
+), said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+           WHEN 'C' THEN 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 2 * length(d.t)
+           WHEN 'D' THEN regexp_matches(d.t, '[#$%&*|]') ELSE coalesce(d.doc_id > f, false) END) AS fails
+  FROM d JOIN first ON first.t = d.t LEFT JOIN said ON said.doc_id = d.doc_id
+), counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM failing GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s:s] AS own, string_split(filter_order[1:s - 1], '') AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS s FROM orders)
+), judged AS (
+  SELECT part, filter_order, step, own, n, g, x, list_contains(fails, own) AS f, list_has_any(fails, before) AS earlier, fails = [own] AS alone
+  FROM counted, steps
+), summed AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT f AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (WHERE f AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE f AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (WHERE alone), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (WHERE f AND NOT earlier), 0) AS good_lost, coalesce(sum(x) FILTER (WHERE f AND NOT earlier), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+ORACLES = {"op1_line_dedup": LINES, "op2_substring_dedup": PASSAGES, "op11_fill_in_middle": MIDDLES, "op12_filter_audit": AUDIT}
