@@ -169,7 +169,8 @@ class TokenCounter:
                     split = self._pre_tokens(part)
                     add(split, np.full(len(split), i))
             elif x.isascii():
-                simple.append(i)
+                if x:  # two spaces in a row would become one, and move what follows
+                    simple.append(i)
             else:
                 split = self._pre_tokens(x)
                 add(split, np.full(len(split), i))
