@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import guards, sentences
 from lexmill.functions.words import lines, word_list
-from lexmill.operators import chunking, sets
+from lexmill.operators import chunking
 
 from .registry import Tables, query
 
@@ -50,19 +50,6 @@ def tx_chunk(t: Tables) -> DataFrame:
     return chunking.chunked(line_segments(t.documents), F.lit("").alias("title"), F.lit(1)).drop("unit", "retrieval_text", "parent_text")
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Pasal 1' ELSE 'Pasal 2' END AS article, turn + 1 AS ayat, text FROM conversations),
-short AS (SELECT conv_id, CAST(NULL AS VARCHAR) AS article, 'too_short' AS code, count(*) AS n FROM s WHERE length(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g')) < 20 GROUP BY 1),
-g AS (SELECT conv_id, article, count(*) AS n, count(DISTINCT ayat) AS d, max(ayat) AS m, min(ayat) AS l FROM s GROUP BY 1, 2)
-SELECT * FROM short UNION ALL SELECT conv_id, article, 'ayat_duplicate', n - d FROM g WHERE d < n UNION ALL SELECT conv_id, article, 'ayat_gap', m - d FROM g WHERE m > d""")
-def tx_segment_issues(t: Tables) -> DataFrame:
-    article = F.when(F.col("role") == "user", "Pasal 1").otherwise("Pasal 2")
-    s = t.conversations.select("conv_id", article.alias("article"), (F.col("turn") + 1).alias("ayat"), "text")
-    short = s.filter(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]", "")) < 20).groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.lit(None).cast("string").alias("article"), F.lit("too_short").alias("code"), "n")
-    gaps = sets.integer_gaps(s, ["conv_id", "article"], "ayat").groupBy("conv_id", "article").agg(F.count("*").alias("n")).select("conv_id", "article", F.lit("ayat_gap").alias("code"), "n")
-    twice = s.groupBy("conv_id", "article").agg((F.count("*") - F.count_distinct("ayat")).alias("n")).filter("n > 0").select("conv_id", "article", F.lit("ayat_duplicate").alias("code"), "n")
-    return short.unionByName(gaps).unionByName(twice)
-
-
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '([^\s])-[ \t]*\n[ \t]*(\p{Ll})', '\1-\2', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS digest FROM documents""")
 def tx_normalize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(guards.normalised(F.col("text")), 256).alias("digest"))
