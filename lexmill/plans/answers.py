@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import claims as words_of
 from lexmill.functions import questions, sentences
 from lexmill.operators import claims, sets
-from lexmill.sources import json_lines
+from lexmill.sources import json_lines, shared
 from lexmill.streaming import buckets
 
 from .registry import SQL, Tables, query
@@ -149,7 +149,7 @@ def ss_trailing(t: Tables) -> DataFrame:
 def src_jsonl(t: Tables) -> DataFrame:
     """Documents written as JSON lines and read back."""
     rows = t.documents.select("doc_id", "text", "lang")
-    path = json_lines.scratch(rows.sparkSession, "jsonl")
+    path = shared.scratch(rows.sparkSession, "jsonl")
     rows.write.option("ignoreNullFields", "false").json(path)
     return json_lines.read_json_lines(rows.sparkSession, path, rows.schema)
 

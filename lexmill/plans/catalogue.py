@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, corpus, lookups, operations, ranking, release, retrieval, statutes, structure  # noqa: F401  registers their queries
+from . import answers, corpus, hierarchy, lookups, operations, ranking, release, retrieval, statutes, structure  # noqa: F401  registers their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "r_rrf"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,17 +30,3 @@ def export_json_lines(rows: DataFrame, path: str, key: str, text: str) -> None:
     if bad:
         raise ValueError("not exported: " + ", ".join(f"{x.finding} {x.n}" for x in bad))
     rows.write.option("ignoreNullFields", "false").json(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, as spark.checkpoint.dir names it.
-
-    Where none is set, a temporary one in local mode; on a cluster that is an error, as others would not see it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
