@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators import legal_tree, trees
 from lexmill.operators import segments as seg
 
 from .registry import Tables, query
@@ -93,3 +94,14 @@ SELECT document_id, segment_id, 'bad_article_label' AS code FROM found WHERE NOT
 UNION ALL SELECT document_id, segment_id, 'ayat_duplicate' FROM j WHERE len(list_distinct(n)) < len(n) UNION ALL SELECT document_id, segment_id, 'ayat_gap' FROM j WHERE n <> range(1, list_max(n) + 1)""")
 def tx_segment_issues(t: Tables) -> DataFrame:
     return seg.segment_issues(seg.segments(pages(t)))
+
+
+@query()
+def tx_legal_tree(t: Tables) -> DataFrame:
+    return legal_tree.legal_tree(pages(t)).withColumn("text", F.sha2("text", 256))
+
+
+@query()
+def tx_tree_findings(t: Tables) -> DataFrame:
+    """What stands wrong in the trees: levels, parents, pages, repeated nodes."""
+    return trees.hierarchy_findings(legal_tree.legal_tree(pages(t)), pages(t).select("document_id", "page"))
