@@ -90,7 +90,7 @@ def test_scopes(trees):
 def test_amendment_scopes(trees):
     scope = lambda d: [(r.identifier, r.amendment_scope and r.amendment_scope.removeprefix(f"{d}:legal:")) for r in trees[d] if r.type == "pasal"]
     assert scope("amended") == [("Pasal 10", "00001"), ("Pasal 1", "00001"), ("Pasal 11", "00003"), ("Pasal 1", "00004"), ("Pasal 5", "00004"), ("Pasal 6", "00000:amendment-item:9"), ("Pasal 7", "00000:amendment-item:9")]
-    assert scope("items") == [("Pasal 1", "00001:amendment-item:3"), ("Pasal 1", "00001:amendment-item:6")]
+    assert scope("items") == [("Pasal 1", "00002"), ("Pasal 1", "00001:amendment-item:6")]
     assert scope("omnibus") == [("Pasal 17", "00002"), ("Pasal 1", "00002"), ("Pasal 18", "00004"), ("Pasal 1", "00004")]
 
 
