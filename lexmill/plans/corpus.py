@@ -123,21 +123,6 @@ def tx_fragment_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", lines(F.col("text")).alias("s")).select("doc_id", short.cast("long").alias("short_lines"), F.when(F.size("s") < 10, 0.0).otherwise(F.round(short / F.size("s"), 6)).alias("ratio"))
 
 
-@query(r"""SELECT doc_id, round(least(1.0, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / (0.7 * greatest(1, length(regexp_replace(text, '\s', '', 'g'))))), 4) AS alnum, round(0.25 * least(1.0, length(text) / 120.0) + 0.75 * least(1.0, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / (0.7 * greatest(1, length(regexp_replace(text, '\s', '', 'g'))))), 4) AS score FROM documents""")
-def tx_quality(t: Tables) -> DataFrame:
-    kept = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
-    visible = F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")))
-    share = F.least(F.lit(1.0), kept / (0.7 * visible))
-    return t.documents.select("doc_id", F.round(share, 4).alias("alnum"), F.round(0.25 * F.least(F.lit(1.0), F.length("text") / 120.0) + 0.75 * share, 4).alias("score"))
-
-
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(lower(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'))), '[0-9]', '#', 'g') AS signature FROM l), n AS (SELECT signature, count(DISTINCT doc_id) AS pages FROM s WHERE signature <> '' GROUP BY 1) SELECT signature, pages FROM n WHERE pages >= 3""")
-def tx_margin_noise(t: Tables) -> DataFrame:
-    signature = F.regexp_replace(F.lower(collapsed(F.col("line"))), "[0-9]", "#")
-    found = t.documents.select("doc_id", F.explode(lines(F.col("text"))).alias("line")).select("doc_id", signature.alias("signature")).filter("signature <> ''").distinct()
-    return found.groupBy("signature").agg(F.count("*").alias("pages")).filter("pages >= 3")
-
-
 @query(rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 3 AND NOT list_contains([{", ".join(f"'{x}'" for x in words.STOP_WORDS)}], x)) AS terms, list_transform(regexp_extract_all(lower(coalesce(text, '')), '\b\d+(?:[.,]\d+)?\b'), lambda x: replace(x, ',', '.')) AS numbers FROM documents),
 u AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(terms), lambda x: list_position(terms, x))), lambda i: terms[i]) AS terms, list_transform(list_sort(list_transform(list_distinct(numbers), lambda x: list_position(numbers, x))), lambda i: numbers[i]) AS numbers FROM w)
 SELECT doc_id, array_to_string(list_concat(terms[1:32], list_filter(numbers, lambda x: NOT list_contains(terms[1:32], x))), ' ') AS terms FROM u""")
