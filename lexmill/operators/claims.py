@@ -36,3 +36,12 @@ def faithfulness(claims: DataFrame, keys: list[str]) -> DataFrame:
     """Per answer: the mean support of its claims, unsupported ones as 0, and the share of unsupported ones."""
     held = F.when(F.col("supported"), F.col("support_score")).otherwise(0.0)
     return claims.groupBy(*keys).agg(F.count("*").alias("claims"), F.round(F.avg(held), 6).alias("faithfulness"), F.round(F.avg((~F.col("supported")).cast("double")), 6).alias("unsupported_rate"))
+
+
+def coverage(answers: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Per answer (keys, answer): the share of its content words that some claim (keys, claim) has, supported or not; 0 without
+    words or claims. Answers and claims meet word by word, within their keys."""
+    said = answers.select(*keys, F.explode_outer(F.array_distinct(content_words(F.col("answer")))).alias("word"))
+    told = claims.select(*keys, F.explode(content_words(F.col("claim"))).alias("word")).distinct().withColumn("told", F.lit(1))
+    met = said.join(told, [*keys, "word"], "left")
+    return met.groupBy(*keys).agg(F.coalesce(F.round(F.count("told") / F.nullif(F.count("word"), F.lit(0)), 4), F.lit(0.0)).alias("coverage"))

@@ -60,9 +60,10 @@ def superseded(ranked: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def relationship_score(score: Column) -> Column:
-    """Lower where a newer document exists (.15; .3 where it is ranked too; .4 at least then for an outdated status), .05 more for one that replaces."""
+    """Lower where a newer document exists: by .15, of an outdated one by .3, or by .4 if the newer one is ranked too; .05 more for
+    one that replaces a ranked document."""
     outdated = F.col("status").isin("revoked", "historical")
-    down = F.when(F.col("newer_ranked"), F.when(outdated, 0.4).otherwise(0.3)).when(F.col("n_newer") > 0, 0.15).otherwise(0.0)
+    down = F.when(F.col("n_newer") > 0, F.when(outdated & F.col("newer_ranked"), 0.4).when(outdated, 0.3).otherwise(0.15)).otherwise(0.0)
     return F.round(score - down + F.when(F.col("replaces"), 0.05).otherwise(0.0), 6)
 
 

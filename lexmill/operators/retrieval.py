@@ -10,21 +10,17 @@ from lexmill.functions.words import tokens
 from .ordering import first_per_key
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf, terms): how often a term occurs, and how many different ones the document has."""
-    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return counts.join(counts.groupBy("doc_id").agg(F.count("*").alias("terms")), "doc_id")
-
-
 def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per query and document that share a term: the sum over query tokens, repeated ones again, of 1 + ln(1 + tf), by the root
-    of the document's different terms. An equi-join on terms; only pairs that share one are made.
+    of the document's different terms. A document's terms are counted within its row, and only those that some query asks leave
+    it; the rest meets by equality of terms. Rows should not repeat a document's id.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    terms = counts.groupBy("doc_id").agg(F.count("*").alias("terms"))
-    sums = counts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * (1 + F.log1p(F.col("tf").cast("double")))).alias("total"))
-    return sums.join(terms, "doc_id").select("query_id", "doc_id", (F.col("total") / F.sqrt(F.col("terms").cast("double"))).alias("score"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words")).withColumn("terms", F.size(F.array_distinct("words")))
+    held = words.select("doc_id", "terms", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = held.groupBy("doc_id", "terms", "term").agg(F.count("*").alias("tf"))
+    sums = counts.join(asked, "term").groupBy("query_id", "doc_id", "terms").agg(F.sum(F.col("times") * (1 + F.log1p(F.col("tf").cast("double")))).alias("total"))
+    return sums.select("query_id", "doc_id", (F.col("total") / F.sqrt(F.col("terms").cast("double"))).alias("score"))
 
 
 def ranked(scores: DataFrame, score: str, tie: str, name: str) -> DataFrame:
@@ -32,14 +28,6 @@ def ranked(scores: DataFrame, score: str, tie: str, name: str) -> DataFrame:
     return scores.filter(F.col(score) > 0).withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie)))
 
 
-def reciprocal_rank_fusion(rankings: list[DataFrame], doc_id: str = "doc_id", k: int = 60) -> DataFrame:
-    """Of rankings (query_id, doc_id, rank): the sum of 1 / (k + rank)."""
-    rows = rankings[0].select("query_id", doc_id, "rank")
-    for r in rankings[1:]:
-        rows = rows.unionByName(r.select("query_id", doc_id, "rank"))
-    return rows.groupBy("query_id", doc_id).agg(F.sum(1 / (k + F.col("rank"))).alias("fusion"))
-
-
 def min_max(scores: DataFrame, score: str, name: str) -> DataFrame:
     """Scaled to 0..1 within each query; 1 where all are equal."""
     w = Window.partitionBy("query_id")
@@ -81,11 +69,15 @@ def fused_scores(rankings: dict[str, DataFrame], doc_id: str = "doc_id", k: int
 
 
 def shared_grams(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, n: int, text: str = "text") -> DataFrame:
-    """Pairs (query_id, doc_id) that share n tokens in a row; only documents with a gram of a query take part in the join's output."""
+    """Pairs (query_id, doc_id) that share n words (runs of letters and digits) in a row. Runs are made and hashed to 128 bits
+    within the row, each once; runs that no query has end at the join.
+    """
 
     def grams(df: DataFrame, i: str) -> DataFrame:
-        w = Window.partitionBy(i).orderBy("p").rowsBetween(0, n - 1)
-        rows = df.select(i, F.posexplode(tokens(F.col(text))).alias("p", "t")).select(i, F.array_join(F.collect_list("t").over(w), " ").alias("gram"), F.count("*").over(w).alias("m"))
-        return rows.filter(F.col("m") == n).select(i, F.xxhash64("gram").alias("h"), "gram").distinct()
+        words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        rows = df.select(F.col(i), words.alias("w")).filter(F.size("w") >= n)
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.array_join(F.slice("w", p, n), " "))
+        hashed = F.array_distinct(F.transform(runs, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(g, F.lit(1)).alias("k"))))
+        return rows.select(i, F.explode(hashed).alias("x")).select(i, "x.h", "x.k")
 
-    return grams(docs, doc_id).join(grams(queries, query_id), ["h", "gram"]).select(query_id, doc_id).distinct()
+    return grams(docs, doc_id).join(grams(queries, query_id), ["h", "k"]).select(query_id, doc_id).distinct()

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +33,50 @@ def norm_statistics(df: DataFrame, vector: str, keys: tuple[str, ...] = ()) -> D
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(f(n), 6).alias(f"{name}_norm") for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max))))
 
 
-def _first_of(k: int, asked, query_id: str, row_id: str, vector: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, wanted = asked.value
-        best = pd.DataFrame({query_id: [], row_id: [], "score": []}).astype({query_id: "int64", row_id: "int64", "score": "float64"})
-        for rows in batches:
-            rows = rows[[v is not None and len(v) == wanted.shape[1] for v in rows[vector]]]
-            if len(rows):
-                own = np.stack(rows[vector].to_numpy()).astype(np.float64)
-                length = np.sqrt((own * own).sum(1))[None, :] * np.sqrt((wanted * wanted).sum(1))[:, None]
-                score = np.divide(wanted @ own.T, length, out=np.zeros_like(length), where=length > 0)
-                new = pd.DataFrame({query_id: np.repeat(names, len(rows)), row_id: np.tile(rows[row_id].to_numpy(), len(names)), "score": score.ravel()})
-                best = pd.concat([best, new]).assign(r=lambda x: x["score"].round(9)).sort_values(["r", row_id], ascending=[False, True]).drop(columns="r").groupby(query_id).head(k)
-        yield best
+def _first_of(k: int, names: tuple[str, str, str]):
+    """The k best rows of a shard for each query of a group."""
+    query_id, row_id, vector = names
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        queries, ids = asked[query_id].to_numpy(), rows[row_id].to_numpy()
+        wanted, own = (np.stack(x[vector].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)) if x.num_rows else np.zeros((0, 0)) for x in (asked, rows))
+        out = []
+        if len(wanted) and len(own) and wanted.shape[1] == own.shape[1]:
+            lengths = np.sqrt((own * own).sum(1))
+            order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+            own, ids, lengths = own[order], ids[order], lengths[order]
+            for q in range(0, len(wanted), 64):
+                some = wanted[q : q + 64]
+                length = np.sqrt((some * some).sum(1))[:, None] * lengths[None, :]
+                score = np.divide(some @ own.T, length, out=np.zeros_like(length), where=length > 0)
+                close = np.round(score, 9)
+                for i in range(len(some)):
+                    if len(ids) > k:
+                        least = np.partition(close[i], len(ids) - k)[len(ids) - k]
+                        above, ties = np.flatnonzero(close[i] > least), np.flatnonzero(close[i] == least)
+                        best = np.r_[above, ties[: k - len(above)]]
+                    else:
+                        best = np.arange(len(ids))
+                    out.append((np.full(len(best), queries[q + i]), ids[best], score[i, best]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=[query_id, row_id, "score"])
 
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int, block: int = 512) -> DataFrame:
-    """(query_id, row_id, score): candidates that hold each query's k largest cosines over all rows, at most k from each partition.
+def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int, group: int = 1024, shard: int = 50_000) -> DataFrame:
+    """(query_id, row_id, score): candidates that hold each query's k largest cosines over all rows, at most k from each shard.
 
-    Queries go out in blocks of a fixed number; rows without a vector of their length take no part, zero vectors score 0.
+    Queries are dealt into groups of about `group`, rows into shards of about `shard`, both by a hash of the id and apart by the
+    vector's length, and every group meets every shard of its length in a task of its own. Null vectors take no part, zero vectors
+    score 0; a null within a vector counts as 0.
     """
-    spark, held, found = rows.sparkSession, [], None
-    schema = f"{query_id} long, {row_id} long, score double"
-    rows = rows.select(row_id, vector)
-
-    def answered(part: list) -> DataFrame:
-        asked = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.float64)))
-        return rows.mapInPandas(_first_of(k, asked, query_id, row_id, vector), schema)
-
-    for r in queries.select(query_id, vector).filter(F.col(vector).isNotNull()).toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            found, held = answered(held) if found is None else found.unionByName(answered(held)), []
-    if held:
-        found = answered(held) if found is None else found.unionByName(answered(held))
-    return spark.createDataFrame([], schema) if found is None else found
+    numbers = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias(vector)
+    asked = queries.filter(F.col(query_id).isNotNull() & (F.size(vector) > 0)).select(F.col(query_id).cast("long").alias(query_id), numbers)
+    known = rows.filter(F.col(row_id).isNotNull() & (F.size(vector) > 0)).select(F.col(row_id).cast("long").alias(row_id), numbers)
+    groups, shards = (max(1, -(-x.count() // each)) for x, each in ((asked, group), (known, shard)))
+    parts = lambda df, own, i, n, other, m: df.select("*", F.size(vector).alias("_n"), F.pmod(F.xxhash64(i), F.lit(n)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    keys = ("_n", "_group", "_shard")
+    left = parts(asked, "_group", query_id, groups, "_shard", shards).groupBy(*keys)
+    right = parts(known, "_shard", row_id, shards, "_group", groups).groupBy(*keys)
+    return left.cogroup(right).applyInArrow(_first_of(k, (query_id, row_id, vector)), f"{query_id} long, {row_id} long, score double")

@@ -81,10 +81,12 @@ def e_faithful(t: Tables) -> DataFrame:
     return claims.faithfulness(_claims(t), ["conv_id"])
 
 
-@query(f"WITH {CLAIMS}, w AS (SELECT conv_id, supported, unnest({_WORDS.format('claim')}) AS w FROM claims), d AS (SELECT conv_id, w, bool_or(supported) AS covered FROM w GROUP BY 1, 2) SELECT conv_id, round(count(*) FILTER (WHERE covered) / count(*), 4) AS coverage FROM d GROUP BY 1")
+@query(f"WITH a AS (SELECT conv_id, turn, list_distinct({_WORDS.format('text')}) AS w FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id, list_distinct(flatten(list({_WORDS.format('text')}))) AS w FROM conversations WHERE role = 'user' GROUP BY 1) SELECT a.conv_id, turn, CASE WHEN len(a.w) = 0 THEN 0 ELSE round(len(list_intersect(a.w, coalesce(c.w, []))) / len(a.w), 4) END AS coverage FROM a LEFT JOIN c ON c.conv_id = a.conv_id")
 def g_coverage(t: Tables) -> DataFrame:
-    said = _claims(t).select("conv_id", "supported", F.explode(words_of.content_words(F.col("claim"))).alias("w")).groupBy("conv_id", "w").agg(F.bool_or("supported").alias("covered"))
-    return said.groupBy("conv_id").agg(F.round(F.count_if("covered") / F.count("*"), 4).alias("coverage"))
+    """The assistant's turns as answers, all turns of the user as claims on each."""
+    answers = t.conversations.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    said = t.conversations.filter("role = 'user'").select("conv_id", F.col("text").alias("claim"))
+    return claims.coverage(answers, answers.select("conv_id", "turn").join(said, "conv_id"), ["conv_id", "turn"])
 
 
 @query(f"WITH p AS (SELECT conv_id, turn, role, {_WORDS.format('text')} AS a, lag({_WORDS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(coalesce(b, [])) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS overlap FROM p WHERE role = 'assistant'")

@@ -53,7 +53,7 @@ def jn_graph_1hop(t: Tables) -> DataFrame:
     return ranking.superseded(_pool(t), _edges(t)).select("query_id", "doc_id", "n_newer", "newer_ranked", "replaces")
 
 
-@query(f"""WITH {POOL}, {RELATED} SELECT query_id, doc_id, round(score - CASE WHEN newer_ranked AND status = 'revoked' THEN 0.4 WHEN newer_ranked THEN 0.3 WHEN n_newer > 0 THEN 0.15 ELSE 0 END + CASE WHEN replaces THEN 0.05 ELSE 0 END, 6) AS score FROM rel""")
+@query(f"""WITH {POOL}, {RELATED} SELECT query_id, doc_id, round(score - CASE WHEN n_newer = 0 THEN 0 WHEN status <> 'revoked' THEN 0.15 WHEN newer_ranked THEN 0.4 ELSE 0.3 END + CASE WHEN replaces THEN 0.05 ELSE 0 END, 6) AS score FROM rel""")
 def r_relationship(t: Tables) -> DataFrame:
     return ranking.superseded(_pool(t), _edges(t)).select("query_id", "doc_id", ranking.relationship_score(F.col("score")).alias("score"))
 

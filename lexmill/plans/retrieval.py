@@ -16,7 +16,7 @@ d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_ext
 k AS (SELECT doc_id, count(*) AS terms FROM d GROUP BY 1),
 lex AS (SELECT query_id, d.doc_id, sum(times * (1 + ln(1 + tf))) / sqrt(any_value(terms)) AS score FROM d JOIN q ON q.term = d.term JOIN k ON k.doc_id = d.doc_id GROUP BY 1, 2)"""
 #: Documents that share eight words in a row with a query.
-ECHO = r"""words AS (SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark UNION ALL SELECT 1, doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') FROM documents),
+ECHO = r"""words AS (SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark UNION ALL SELECT 1, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM documents),
 grams AS (SELECT DISTINCT side, id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 6)) AS p FROM words)),
 echo AS (SELECT DISTINCT q.id AS query_id, d.id AS doc_id FROM grams q JOIN grams d ON d.g = q.g AND q.side = 0 AND d.side = 1)"""
 #: Both rankings down to this place; a document's vector and a query's are those of its id.

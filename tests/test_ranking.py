@@ -31,3 +31,45 @@ def test_diversified(spark):
     for q in (1, 2, 3, 4):
         assert [r.doc_id for r in found if r.query_id == q] == _plain([x for x in rows if x[0] == q], 8, 0.75, 3)
     assert ranking.diversified(df.limit(0), 8).count() == 0
+
+
+def test_newer_documents_lower_a_score(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import ranking
+
+    rows = spark.createDataFrame([(1, "current", 0, False, False), (2, "current", 1, False, False), (3, "current", 1, True, False), (4, "revoked", 1, False, False), (5, "historical", 1, True, False), (6, "revoked", 0, False, True)], "k int, status string, n_newer int, newer_ranked boolean, replaces boolean")
+    assert {r.k: r.s for r in rows.select("k", ranking.relationship_score(F.lit(1.0)).alias("s")).collect()} == {1: 1.0, 2: 0.85, 3: 0.85, 4: 0.7, 5: 0.6, 6: 1.05}
+
+
+def test_coverage_counts_all_claims(spark):
+    from lexmill.operators import claims
+
+    answers = spark.createDataFrame([(1, "upah dibayar tepat waktu"), (2, ""), (3, "cuti tahunan"), (4, None)], "k int, answer string")
+    said = spark.createDataFrame([(1, "upah minimum"), (1, "waktu kerja"), (2, "upah")], "k int, claim string")
+    got = {r.k: r.coverage for r in claims.coverage(answers, said, ["k"]).collect()}
+    assert got[2] == got[3] == got[4] == 0.0 and 0 < got[1] < 1
+
+
+def test_nearest_over_shards_and_groups(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import retrieval, vectors
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [0.0] * 4), (202, [1.0, 2.0]), (203, [None, 1.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    asked = table.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    found = vectors.nearest(asked, table, "query_id", "vec_id", "v", 7, group=4, shard=25)
+    got = {}
+    for r in retrieval.top_k(found, F.round("score", 9), "vec_id", 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    full = {i: np.array([x or 0.0 for x in v]) for i, v in rows if i is not None and v is not None and len(v) == 4}
+    for q, v in full.items():
+        if q % 10 == 0:
+            near = sorted(((round(float(v @ u) / (np.linalg.norm(v) * np.linalg.norm(u)), 9) if np.linalg.norm(v) and np.linalg.norm(u) else 0.0, i) for i, u in full.items()), key=lambda x: (-x[0], x[1]))[:7]
+            assert [(n, i) for n, i, _ in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(near)]
+    assert vectors.nearest(asked.limit(0), table, "query_id", "vec_id", "v", 3).count() == 0
