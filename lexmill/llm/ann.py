@@ -98,34 +98,49 @@ class Tree:
             yield who[keep], at[keep], products[keep]
 
 
+def _layer(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, ids and scores of what may be among the k best of rows that have each id once, in the order of ids."""
+    # equal vectors share a point of the tree, which keeps the k + 1 smallest ids: one of them may be the query itself
+    _, first, member = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    by_point = np.argsort(member, kind="stable")
+    bounds = np.searchsorted(member[by_point], np.arange(len(first) + 1))
+    tree = Tree(_scaled(vectors[first]))
+    for i in range(0, len(queries), block):
+        part = queries[i : i + block]
+        for who, at, _ in tree.search(_scaled(part), k + 1, factor):
+            n = np.minimum(bounds[at + 1] - bounds[at], k + 1)
+            rows = by_point[np.repeat(bounds[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            who, point = np.repeat(who, n), np.repeat(at, n)
+            other = ids[rows] != query_ids[i + who]
+            who, rows, point = who[other], rows[other], point[other]
+            yield query_ids[i + who], ids[rows], cosine(part[who], vectors[first[point]])
+
+
 def _search(k: int, factor: float, block: int):
+    """The k best ids of a shard for each query. An id's first vectors make one tree, its second ones another, and so on: a tree
+    has each id once, so its k best points are k ids, and who is among a query's k best ids is so in the tree of its best vector."""
+
     def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
         if not shard.num_rows or not asked.num_rows:
             return NEAR_ARROW.empty_table()
-        order = np.argsort(shard["vec_id"].to_numpy(), kind="stable")
-        ids, vectors = shard["vec_id"].to_numpy()[order], _matrix(shard["vector"])[order]
-        # equal vectors share a point of the tree, which keeps the k + 1 smallest ids: one of them may be the query itself
-        _, first, member = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        by_point = np.argsort(member, kind="stable")
-        bounds = np.searchsorted(member[by_point], np.arange(len(first) + 1))
-        tree, out = Tree(_scaled(vectors[first])), []
-        for i in range(0, asked.num_rows, block):
-            part = asked.slice(i, block)
-            query_ids, queries = part["vec_id"].to_numpy(), _matrix(part["vector"])
-            for who, at, _ in tree.search(_scaled(queries), k + 1, factor):
-                n = np.minimum(bounds[at + 1] - bounds[at], k + 1)
-                rows = by_point[np.repeat(bounds[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-                who, point = np.repeat(who, n), np.repeat(at, n)
-                other = ids[rows] != query_ids[who]
-                who, rows, point = who[other], rows[other], point[other]
-                out.append((query_ids[who], ids[rows], cosine(queries[who], vectors[first[point]])))
+        vectors = _matrix(shard["vector"])
+        order = np.lexsort((*vectors.T[::-1], shard["vec_id"].to_numpy()))
+        ids, vectors = shard["vec_id"].to_numpy()[order], vectors[order]
+        once = np.r_[True, (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(1)]
+        ids, vectors = ids[once], vectors[once]
+        place = np.arange(len(ids)) - np.searchsorted(ids, ids)
+        query_ids, queries = asked["vec_id"].to_numpy(), _matrix(asked["vector"])
+        out = [x for layer in range(int(place.max()) + 1) for x in _layer(ids[place == layer], vectors[place == layer], query_ids, queries, k, factor, block)]
         if not out:
             return NEAR_ARROW.empty_table()
         query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((-score, vec, query))
+        query, vec, score = query[order], vec[order], score[order]
+        best = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])] if len(query) else np.zeros(0, bool)
+        query, vec, score = query[best], vec[best], score[best]
         order = np.lexsort((vec, -score, query))
         query, vec, score = query[order], vec[order], score[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        keep = rank < k
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
         return pa.table([pa.array(query[keep]), pa.array(vec[keep]), pa.array(score[keep])], schema=NEAR_ARROW)
 
     return run
@@ -159,6 +174,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5, factor: float
 
 
 def nearest_to_every(embeddings: DataFrame, every: int = 50, k: int = 5, factor: float = 1.0) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by `every`; all other rows are candidates."""
+    """Queries are the rows whose vec_id is divisible by `every`; all other rows are candidates. Rows without an id or a valid
+    vector take no part, an empty table gives an empty one; repeated rows count as `nearest` says."""
     rows = stored(valid_vectors(embeddings), "vectors")
     return nearest(rows, rows.filter(F.col("vec_id") % every == 0), k, factor)
