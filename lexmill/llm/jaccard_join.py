@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .packed import bucket_of, planes, unplanes
 from .slots import has_slot, slots_of
-from .tables import buckets_for, stored
+from .tables import buckets_for, dealt_join, stored
 from .words import GRAM_KEYS, LOWER, U64, buffers, give_back, grams, mix, rows_of, slices, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -53,8 +53,10 @@ SALTS = 64
 FEW, BLOCK, WORDS = 16, 128, 32
 #: Documents of a crowded key's largest component that the others are compared with before the blocks.
 LEADERS = 4
+#: Of a document's crowded keys, how many travel with it into the blocks.
+SMALLEST = 8
 #: Keys that a bucket holds, about.
-KEYS_EACH = 800_000
+KEYS_EACH = 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +226,7 @@ def _in_order(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> list[np.n
     return [keys[once], ids[once], *(x[order][once] for x in more)]
 
 
-def _keyed(n_buckets: int, rarity, most: int = 1_000_000):
+def _keyed(n_buckets: int, rarity, most: int = 500_000):
     def flush(parts: list[tuple], turn: int) -> Iterator[pa.RecordBatch]:
         keys, ids = _in_order(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         first, a, b = _stars(keys, ids)
@@ -288,12 +290,6 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _with(pairs: DataFrame, end: str, other: str, table: DataFrame) -> DataFrame:
-    """Pairs joined with the table's row of one end; pairs that share that end are dealt into parts, each with its own copy of the row."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    return salted.join(salted.select(end, "salt").distinct().join(table, end), [end, "salt"]).drop("salt")
-
-
 def _once(rows: DataFrame, repeated: DataFrame, row: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """row(rows), with one row for each id that the table `repeated` names; ids that aren't repeated need no shuffle for that."""
     if repeated.isEmpty():
@@ -313,14 +309,14 @@ def _near(pairs: DataFrame, members: DataFrame, docs: DataFrame, repeated: DataF
     half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
     fold = lambda x, y: F.expr(f"if(size({x}) > size({y}), {half(x)}, {x})")
     apart = F.aggregate(F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sized = _with(pairs, "a", "b", side("a")).join(side("b"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    sized = dealt_join(pairs, side("a"), ["a"], "b").join(side("b"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     close = stored(sized.filter(apart * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"), "close")
     paired.destroy()
     paired = ids(close)
     needed = docs.filter(has_slot("doc_id", paired))
     sets = stored(_once(needed, repeated, lambda rows: rows.mapInArrow(_set_rows, "doc_id long, shingles array<long>")), "sets")
     paired.destroy()
-    joined = _with(close, "a", "b", sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"})).join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
+    joined = dealt_join(close, sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"}), ["a"], "b").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return joined.withColumn("both", both).filter("100 * both >= 75 * (n_a + n_b - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -335,7 +331,7 @@ def _open(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """Of keys (key, doc_id, owners): those whose owners are in several components, with each owner's root and the key's most frequent one."""
     placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("x")).filter("roots > 1")
-    return _with(placed, "key", "doc_id", mixed.select("key", F.col("x.root").alias("largest")))
+    return dealt_join(placed, mixed.select("key", F.col("x.root").alias("largest")), ["key"], "doc_id")
 
 
 def _led(keys: DataFrame) -> DataFrame:
@@ -345,7 +341,7 @@ def _led(keys: DataFrame) -> DataFrame:
     """
     chosen = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id"))["doc_id"] for i in range(LEADERS)]
     leaders = keys.filter("root = largest").groupBy("key").agg(F.array(*chosen).alias("leaders"))
-    pairs = _with(keys.filter("root <> largest").select("key", "doc_id"), "key", "doc_id", leaders).select("doc_id", F.explode("leaders").alias("leader"))
+    pairs = dealt_join(keys.filter("root <> largest").select("key", "doc_id"), leaders, ["key"], "doc_id").select("doc_id", F.explode("leaders").alias("leader"))
     return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
 
 
@@ -353,22 +349,37 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs of blocks: the pairs of documents in different components whose sizes and sketches allow a link.
 
     A block without a partner (asking null) meets itself. Documents of the largest component ask nothing: the others find them.
+    Of two that ask, the one of the smaller id does. A pair meets at every crowded key it shares, as documents of different
+    components can't both be in a key's largest; where a smaller one is known to be shared, this key leaves the pair to it.
     """
     for batch in batches:
         for k in range(batch.num_rows):
-            block = batch.column("block")[k].values
+            block, key = batch.column("block")[k].values, batch.column("key")[k].as_py()
             asking = batch.column("asking")[k]
             sides = [asking.values if asking.is_valid else block, block]
-            (ids, n, root, out), (other_ids, other_n, other_root, _) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root", "out")] for x in sides)
+            (ids, n, root, out), (other_ids, other_n, other_root, other_out) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "root", "out")] for x in sides)
             width = min(int(x.field("sketch").value_lengths().to_numpy(zero_copy_only=False).min()) for x in sides)
             own, other = (_folded(x.field("sketch"), width) for x in sides)
+            earlier, other_earlier = (_earlier(x.field("smallest"), key) for x in sides)
             for i in np.flatnonzero(out):
-                ok = np.flatnonzero((other_root != root[i]) & (4 * np.minimum(n[i], other_n) >= 3 * np.maximum(n[i], other_n)))
+                ok = np.flatnonzero((other_root != root[i]) & (~other_out | (ids[i] < other_ids)) & (4 * np.minimum(n[i], other_n) >= 3 * np.maximum(n[i], other_n)))
                 ok = ok[np.bitwise_count(other[ok] ^ own[i]).sum(axis=1, dtype=np.int64) * 7 <= n[i] + other_n[ok]]
+                before = earlier[i][earlier[i] < key]
+                if len(ok) and len(before):
+                    ok = ok[~np.isin(other_earlier[ok], before).any(axis=1)]
                 if len(ok):
                     yield pa.RecordBatch.from_arrays([pa.array(f(ids[i], other_ids[ok]), pa.int64()) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
 
+def _earlier(smallest: pa.ListArray, key: int) -> np.ndarray:
+    """Of each document the keys before this one that travel with it; the key itself, which none of them is, where there is none."""
+    out = np.full((len(smallest), SMALLEST), key, np.int64)
+    lengths, keys = smallest.value_lengths().to_numpy(zero_copy_only=False), smallest.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out[row, np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.minimum(keys, key)
+    return out
+
+
 def _folded(sketch: pa.ListArray, width: int) -> np.ndarray:
     """Sketches as rows of a matrix, wider ones XORed down to the width."""
     lengths, words = sketch.value_lengths().to_numpy(zero_copy_only=False), sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -385,18 +396,20 @@ def _crowded(keys: DataFrame, reps: DataFrame) -> DataFrame:
     A key of at most BLOCK owners is one block, which meets itself. The others' owners are dealt into blocks by size class, as
     sets of classes further apart than one can't link, and by a hash of their id, so that a block holds about BLOCK of them
     whatever the key's size; blocks meet pairwise. Sketches travel folded to WORDS words: that may pass a pair more, never one
-    fewer.
+    fewer. With each owner travel the SMALLEST of its crowded keys, so that a pair which meets at many keys seldom becomes more
+    than one row.
     """
+    smallest = keys.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, SMALLEST).alias("smallest"))
     folded = F.expr(f"if(size(sketch) <= {WORDS}, sketch, transform(sequence(0, {WORDS - 1}), i -> aggregate(sequence(0, size(sketch) div {WORDS} - 1), 0L, (x, k) -> x ^ sketch[k * {WORDS} + i])))")
-    own = F.struct("doc_id", "n", "root", (F.col("root") != F.col("largest")).alias("out"), "sketch").alias("own")
-    placed = keys.join(reps.select("doc_id", folded.alias("sketch")), "doc_id")
+    own = F.struct("doc_id", "n", "root", (F.col("root") != F.col("largest")).alias("out"), "sketch", "smallest").alias("own")
+    placed = keys.join(reps.select("doc_id", folded.alias("sketch")), "doc_id").join(smallest, "doc_id")
     alone = placed.filter(F.col("owners") <= BLOCK).select("key", own).groupBy("key").agg(F.collect_list("own").alias("block"))
     size_class = F.floor(F.ln("n") / F.lit(float(np.log(4 / 3)))).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("owners") / BLOCK)).cast("int")
     dealt = placed.filter(F.col("owners") > BLOCK).select("key", size_class.alias("class"), part.alias("part"), own)
     blocks = stored(dealt.groupBy("key", "class", "part").agg(F.collect_list("own").alias("block")), "blocks")
     asking = blocks.filter("exists(block, x -> x.out)").select("key", F.explode(F.array([F.col("class") + k for k in (-1, 0, 1)])).alias("class"), F.col("block").alias("asking"))
-    met = asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("asking", "block")
+    met = asking.join(blocks.select("key", "class", "block"), ["key", "class"]).select("key", "asking", "block")
     return alone.unionByName(met, allowMissingColumns=True).mapInArrow(_meeting, "a long, b long")
 
 
@@ -438,7 +451,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     roots = components(links)
 
     keys = found.filter(f"kind = {REPEATED}").select("key", "doc_id").distinct()
-    keys = stored(_with(keys, "key", "doc_id", _different(keys)), "keys")
+    keys = stored(dealt_join(keys, _different(keys), ["key"], "doc_id"), "keys")
     led = _led(_open(keys.filter(F.col("owners") > FEW), roots))
     led = stored(led.join(star, ["a", "b"], "left_anti"), "led")
     links = stored(links.unionByName(_near(led, reps, docs, repeated)), "links")

@@ -48,3 +48,13 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def buckets_for(n_bytes: int, bytes_each: int = 6 << 20, least: int = 64) -> int:
     """Buckets so that one holds the words of about bytes_each of text, however much text there is."""
     return max(least, -(-n_bytes // bytes_each))
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, parts: int = 64) -> DataFrame:
+    """Rows joined with the table on keys; rows of one key are dealt by the column `by` into parts, each with its own copy of the
+    table's row, so that no key fills one task."""
+    from pyspark.sql import functions as F
+
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    copies = salted.select(*keys, "_part").distinct().join(table, keys)
+    return salted.join(copies, [*keys, "_part"]).drop("_part")
