@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.headings import asks_meaning, general_part, heading_only
 from lexmill.functions.words import collapsed, tokens
 
 #: Weights of the parts of a score.
@@ -73,6 +74,33 @@ def keep_unless_empty(ranked: DataFrame, unwanted: Column) -> DataFrame:
     return ranked.withColumn("_bad", unwanted).withColumn("_left", F.count_if(~F.col("_bad")).over(w)).filter("not _bad or _left = 0").drop("_bad", "_left")
 
 
+def demoted_definitions(ranked: DataFrame, question: str, penalty: float = 0.12) -> DataFrame:
+    """Scores of passages that define words are lowered, not below 0, unless the query asks for a meaning or has one row alone."""
+    alone = F.count("*").over(Window.partitionBy("query_id")) < 2
+    down = general_part(F.col("chapter"), F.col("section")) & ~asks_meaning(F.col(question)) & ~F.col("_alone")
+    return ranked.withColumn("_alone", alone).withColumn("demoted", down).withColumn("score", F.when(down, F.round(F.greatest(F.lit(0.0), F.col("score") - penalty), 6)).otherwise(F.col("score"))).drop("_alone")
+
+
+def expanded(ranked: DataFrame, passages: DataFrame, most: int = 4, leading: int = 3, decay: float = 0.85) -> DataFrame:
+    """Ranked rows (query_id, passage_id, rank, score) and up to `most` neighbours of the first `leading`: (query_id, passage_id,
+    score, added).
+
+    Neighbours are the passages just before and after one in its document (passages: passage_id, document_id, place, article,
+    text), of the same article, no headings and not ranked already; they are taken in the order of rank and place, each once, with
+    `decay` of the score of the row that brings them.
+    """
+    order = Window.partitionBy("document_id").orderBy("place", "passage_id")
+    side = lambda f: f(F.struct("passage_id", "article", heading_only(F.col("text")).alias("heading"))).over(order)
+    near = passages.select("passage_id", "article", F.array_compact(F.array(side(F.lag), side(F.lead))).alias("near"))
+    first = ranked.filter(F.col("rank") <= leading).select("query_id", "passage_id", "rank", "score")
+    some = first.join(near, "passage_id").select("query_id", "rank", "score", "article", F.posexplode("near").alias("k", "x")).filter((F.col("article") == F.col("x.article")) & ~F.col("x.heading"))
+    new = some.select("query_id", F.col("x.passage_id").alias("passage_id"), "rank", "k", "score").join(ranked.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti")
+    once = new.groupBy("query_id", "passage_id").agg(F.min(F.struct("rank", "k", "score")).alias("x"))
+    taken = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("x.rank", "x.k"))).filter(F.col("n") <= most)
+    more = taken.select("query_id", "passage_id", F.round(F.col("x.score") * decay, 6).alias("score"), F.lit(True).alias("added"))
+    return ranked.select("query_id", "passage_id", "score", F.lit(False).alias("added")).unionByName(more)
+
+
 def diversified(ranked: DataFrame, k: int, relevance_weight: float = 0.7, per_document: int = 3, pool: int = 300) -> DataFrame:
     """Greedy maximal marginal relevance over each query's first `pool` candidates: (query_id, doc_id, place).
 

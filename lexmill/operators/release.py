@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.headings import heading_only
 from lexmill.functions.sentences import estimated_tokens
 
 
@@ -62,6 +63,23 @@ def cleaning_gates(chunks: DataFrame, detected: DataFrame, most_tokens: int) ->
     return out.withColumn("status", F.when(passed, "passed").otherwise("review_required"))
 
 
+def cleaning_report(chunks: DataFrame, detected: DataFrame, unresolved: DataFrame, margins: DataFrame, most_tokens: int) -> DataFrame:
+    """cleaning_gates with its three warnings, which hold nothing back: unresolved (pages that nobody could read), headings (chunks
+    that are headings alone) and margin_noise (chunks with a removed line as one of theirs).
+
+    unresolved: document_id, page; margins: document_id, line.
+    """
+    gates = cleaning_gates(chunks, detected, most_tokens)
+    pages = unresolved.groupBy("document_id").agg(F.count("*").alias("unresolved"))
+    heads = chunks.groupBy("document_id").agg(F.count_if(heading_only(F.col("text"))).alias("headings"))
+    lines = chunks.withColumn("line", F.explode(F.array_distinct(F.split("text", "\n")))).select("document_id", "chunk_id", F.trim("line").alias("line"))
+    noisy = lines.join(margins.select("document_id", F.trim("line").alias("line")).distinct(), ["document_id", "line"], "left_semi").groupBy("document_id").agg(F.count_distinct("chunk_id").alias("margin_noise"))
+    out = gates
+    for x in (pages, heads, noisy):
+        out = out.join(x, "document_id", "left")
+    return out.fillna(0, ["unresolved", "headings", "margin_noise"])
+
+
 def swept(scored: DataFrame, truth: DataFrame, options: dict[str, dict[str, float]], base: dict[str, float], k: int = 5) -> DataFrame:
     """For each option of weights: mean recall in the first k and mean reciprocal rank, over the queries of truth (query_id, doc_id).
 

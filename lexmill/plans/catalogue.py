@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, corpus, hierarchy, lookups, memory, operations, ranking, release, retrieval, statutes, stores, structure, upkeep  # noqa: F401  registers their queries
+from . import answers, corpus, hierarchy, intake, lookups, memory, operations, ranking, release, retrieval, statutes, stores, structure, upkeep  # noqa: F401  registers their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "r_rrf"

@@ -56,12 +56,6 @@ def ag_doc_status(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("published"), F.count_if((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("failed"), F.count_if(F.col("quality").isNull()).alias("pending"))
 
 
-@query("""SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND l.toxic = 0 AND d.lang IN ('en', 'de') AND d.n_chars > 0""")
-def flt_governance(t: Tables) -> DataFrame:
-    approved = t.labels.filter("quality = 1 and toxic = 0")
-    return t.documents.filter("lang in ('en', 'de') and n_chars > 0").join(approved, "doc_id", "left_semi").select("doc_id")
-
-
 @query("""SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'""")
 def flt_hard(t: Tables) -> DataFrame:
     wanted = {"lang": "en", "source": "src1", "doc_id": None}
@@ -76,37 +70,17 @@ def flt_documents(t: Tables) -> DataFrame:
     return t.documents.filter(F.lower(F.concat_ws(" ", "source", "lang", "text")).contains("license")).orderBy(F.desc("lang"), F.desc("source"), "doc_id").select("doc_id", "lang", "source")
 
 
-@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, starts_with(url, 'https://') AND (regexp_extract(url, '^https?://([^/?#]+)', 1) = 'example.com' OR ends_with(regexp_extract(url, '^https?://([^/?#]+)', 1), '.example.com')) AS canonical FROM pages""")
-def flt_canonical_url(t: Tables) -> DataFrame:
-    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    return t.pages.select("page_id", host.alias("host"), (F.startswith("url", F.lit("https://")) & ((host == "example.com") | F.endswith(host, F.lit(".example.com")))).alias("canonical"))
-
-
 @query("""SELECT page_id FROM pages WHERE html ILIKE '%nav%' ORDER BY page_id LIMIT 100""")
 def flt_logs(t: Tables) -> DataFrame:
     return t.pages.filter(F.col("html").ilike("%nav%")).orderBy("page_id").limit(100).select("page_id")
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty_file' WHEN length(text) < 40 THEN 'no_embedded_text' END AS code, text IS NULL OR length(text) = 0 AS fatal FROM documents""")
-def src_eligibility(t: Tables) -> DataFrame:
-    empty = F.col("text").isNull() | (F.length("text") == 0)
-    return t.documents.select("doc_id", F.when(empty, "empty_file").when(F.length("text") < 40, "no_embedded_text").alias("code"), empty.alias("fatal"))
-
-
 @query("""SELECT doc_id, octet_length(encode(text)) < 1024 AS small, octet_length(encode(text)) > 52428800 AS large FROM documents""")
 def src_limits(t: Tables) -> DataFrame:
     size = F.octet_length("text")
     return t.documents.select("doc_id", (size < 1024).alias("small"), (size > 50 << 20).alias("large"))
 
 
-@query("""WITH r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents) SELECT coalesce(CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' WHEN k > 1 THEN 'duplicate' END, 'ok') AS reason, count(*) AS n FROM r GROUP BY 1""")
-def src_chunk_validate(t: Tables) -> DataFrame:
-    first = t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"))
-    rows = t.documents.withColumn("h", F.sha2("text", 256)).join(first, "h", "left")
-    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty_text").when(F.col("doc_id") > F.col("first"), "duplicate").otherwise("ok")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(f"""SELECT doc_id, {COLLAPSED} AS collapsed FROM documents""")
 def tx_collapse(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", collapsed(F.col("text")).alias("collapsed"))

@@ -69,11 +69,6 @@ def r_refuse(t: Tables) -> DataFrame:
     return ranking.refusals(asked, _pool(t), F.col("query_id") % 7 != 0, 0.5)  # every seventh stands for one out of scope
 
 
-@query(f"""WITH {POOL} SELECT query_id, doc_id FROM (SELECT *, count(*) FILTER (WHERE lang <> 'en') OVER (PARTITION BY query_id) AS n FROM (SELECT query_id, doc_id, coalesce(lang, '') AS lang FROM scored)) WHERE lang <> 'en' OR n = 0""")
-def r_heading_drop(t: Tables) -> DataFrame:
-    return ranking.keep_unless_empty(_pool(t), F.coalesce(F.col("lang"), F.lit("")) == "en").select("query_id", "doc_id")  # a language stands for headings
-
-
 @query()
 def r_mmr(t: Tables) -> DataFrame:
     return ranking.diversified(_pool(t).withColumn("document", F.coalesce("source", F.lit(""))), 10)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import guards, sentences
-from lexmill.functions.words import lines, word_list
+from lexmill.functions.words import lines
 from lexmill.operators import chunking
+from lexmill.operators.segments import segments
 
+from . import statutes
 from .registry import Tables, query
 
 _KNOWN = "|".join(sorted(sentences.ABBREVIATIONS, key=len, reverse=True))
@@ -37,17 +39,17 @@ def tx_marker(t: Tables) -> DataFrame:
     return found.filter("m is not null").select("doc_id", "line_no", "m.*")
 
 
-def line_segments(documents: DataFrame) -> DataFrame:
-    """Lines as segments; the article is the number of lines of at most three words so far, null before the first."""
-    rows = documents.select(F.col("doc_id").alias("document_id"), F.posexplode(lines(F.col("text"))).alias("place", "text"))
-    heads = F.count_if((F.size(word_list(F.col("text"))) <= 3) & (F.trim("text") != "")).over(Window.partitionBy("document_id").orderBy("place"))
-    return rows.withColumn("h", heads).select("document_id", "place", F.when(F.col("h") > 0, F.concat(F.lit("Pasal "), "h")).alias("article"), F.lit(None).cast("string").alias("paragraph"), "text")
+@query()
+def tx_chunk(t: Tables) -> DataFrame:
+    """Chunks of the statutes' segments, by the default budgets."""
+    return chunking.chunked(segments(statutes.pages(t)), F.lit("").alias("title"), F.lit(1)).drop("unit", "retrieval_text", "parent_text")
 
 
 @query()
-def tx_chunk(t: Tables) -> DataFrame:
-    """Chunks of all documents, by the default budgets."""
-    return chunking.chunked(line_segments(t.documents), F.lit("").alias("title"), F.lit(1)).drop("unit", "retrieval_text", "parent_text")
+def tx_retrieval_text(t: Tables) -> DataFrame:
+    """What is searched and shown of each chunk: its text under a header, and its unit's text."""
+    chunks = chunking.chunked(segments(statutes.pages(t)), F.concat(F.lit("Statuta "), F.col("document_id")), F.lit(1))
+    return chunks.select("document_id", "chunk_id", F.regexp_extract("retrieval_text", r"^([^\n]*)", 1).alias("header"), F.sha2("retrieval_text", 256).alias("retrieval_text"), F.sha2("parent_text", 256).alias("parent_text"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '([^\s])-[ \t]*\n[ \t]*(\p{Ll})', '\1-\2', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS digest FROM documents""")
