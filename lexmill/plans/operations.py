@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import clamp, ratio
-from lexmill.operators import measures, ordering, sets
+from lexmill.operators import alerts, measures, ordering, sets
 
 from .registry import Tables, query
 
@@ -266,12 +266,18 @@ def o_probe_status(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(_error(), "down").when(F.col("value") > 100, "degraded").otherwise("up").alias("status"))
 
 
-@query("""WITH b AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)
-SELECT CAST(hour AS TIMESTAMP) AS hour, rule FROM (SELECT hour, 'error_rate' AS rule FROM b WHERE e / n > 0.25 UNION ALL SELECT hour, 'latency' FROM b WHERE p > 150 UNION ALL SELECT hour, 'errors' FROM b WHERE e >= 5)""")
+@query("""WITH e AS (SELECT date_trunc('minute', make_timestamp(epoch_us(ts) // 60)) AS m, event_type AS k, value * 40 AS v, user_id % 5 AS service, value FROM events WHERE ts IS NOT NULL), a AS (SELECT DISTINCT m + to_minutes(CAST(d AS INTEGER)) AS as_of FROM e, (SELECT unnest(range(1, 16)) AS d)),
+s AS (SELECT as_of, count(*) FILTER (WHERE m >= as_of - INTERVAL 5 MINUTE) AS n, count(*) FILTER (WHERE k = 'error' AND m >= as_of - INTERVAL 5 MINUTE) AS errors, count(*) FILTER (WHERE k = 'purchase') AS timeouts, count(*) FILTER (WHERE k IN ('view', 'click', 'signup')) AS limited, list_sort(list(CASE WHEN v <= 50 THEN 25.0 WHEN v <= 100 THEN 75.0 WHEN v <= 250 THEN 175.0 WHEN v <= 500 THEN 375.0 WHEN v <= 1000 THEN 750.0 WHEN v <= 2000 THEN 1500.0 WHEN v <= 5000 THEN 3500.0 WHEN v <= 15000 THEN 10000.0 ELSE 22500.0 END) FILTER (WHERE v IS NOT NULL AND m >= as_of - INTERVAL 10 MINUTE)) AS l
+  FROM a JOIN e ON e.m < as_of AND e.m >= as_of - INTERVAL 15 MINUTE GROUP BY as_of)
+SELECT as_of, 'error_rate_high' AS rule, 'critical' AS severity, NULL AS subject FROM s WHERE n > 0 AND errors / n > 0.05 UNION ALL SELECT as_of, 'p95_latency_high', 'warning', NULL FROM s WHERE l[CAST(greatest(1, ceil(len(l) * 0.95)) AS BIGINT)] > 3000 UNION ALL SELECT as_of, 'repeated_timeouts', 'warning', NULL FROM s WHERE timeouts >= 3 UNION ALL SELECT as_of, 'rate_limit_spike', 'warning', NULL FROM s WHERE limited >= 20
+UNION ALL SELECT DISTINCT as_of, 'service_down', 'critical', CAST(service AS VARCHAR) FROM a JOIN e ON e.m < as_of AND e.m >= as_of - INTERVAL 10 MINUTE WHERE k = 'signup' AND value > 80""")
 def o_alert_rules(t: Tables) -> DataFrame:
-    b = t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.count_if(_error()).alias("e"), F.expr("percentile(value, 0.95)").alias("p"))
-    rules = F.array(F.when(F.col("e") / F.col("n") > 0.25, "error_rate"), F.when(F.col("p") > 150, "latency"), F.when(F.col("e") >= 5, "errors"))
-    return b.select("hour", F.explode(F.array_compact(rules)).alias("rule"))
+    """Events as requests, sixty times as fast; purchases stand for timeouts, most others for limited requests, signups for probes."""
+    rows = t.events.withColumn("at", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60)))
+    kind = F.col("event_type")
+    probes = rows.filter(kind == "signup").select(F.col("at").alias("time"), (F.col("user_id") % 5).alias("service"), F.when(F.col("value") > 80, "down").otherwise("up").alias("status"))
+    found = alerts.active_alerts(rows, "at", _error(), F.col("value") * 40, kind == "purchase", kind.isin("view", "click", "signup"), probes)
+    return found.withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
 
 
 @query("""SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, CAST(sum(value) AS DOUBLE) AS used, greatest(0, 500 - sum(value)) AS remaining FROM events GROUP BY 1, 2""")
