@@ -42,7 +42,7 @@ def page_quality(text: Column, shortest: int = SHORTEST) -> Column:
         score = 0.25 * F.least(F.lit(1.0), p["length"] / max(1, 3 * shortest)) + 0.35 * p["readable"] + 0.35 * F.least(F.lit(1.0), p["alnum"] / 0.7) + 0.05 * F.greatest(F.lit(0.0), 1 - 20 * p["replaced"])
         capped = F.when(short | broken, F.least(score, F.lit(0.6))).otherwise(score)
         nothing = F.array_compact(F.array(F.when(short, F.lit("insufficient_text")), F.lit("empty_page")))
-        return F.struct(F.when(p["n"] == 0, 0.0).otherwise(F.round(F.least(F.greatest(capped, F.lit(0.0)), F.lit(1.0)), 4)).alias("score"), F.when(p["n"] == 0, nothing).otherwise(flags).alias("flags"))
+        return F.struct(F.when(p["n"] == 0, 0.0).otherwise(F.round(F.least(F.greatest(capped, F.lit(0.0)), F.lit(1.0)) + 1e-9, 4)).alias("score"), F.when(p["n"] == 0, nothing).otherwise(flags).alias("flags"))
 
     return F.transform(F.array(parts), told)[0]  # the shares are taken once
 

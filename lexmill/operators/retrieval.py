@@ -70,14 +70,13 @@ def fused_scores(rankings: dict[str, DataFrame], doc_id: str = "doc_id", k: int
 
 def shared_grams(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, n: int, text: str = "text") -> DataFrame:
     """Pairs (query_id, doc_id) that share n words (runs of letters and digits) in a row. Runs are made and hashed to 128 bits
-    within the row, each once; runs that no query has end at the join.
+    within the row, and those that no query has end at the join.
     """
 
     def grams(df: DataFrame, i: str) -> DataFrame:
         words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-        rows = df.select(F.col(i), words.alias("w")).filter(F.size("w") >= n)
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.array_join(F.slice("w", p, n), " "))
-        hashed = F.array_distinct(F.transform(runs, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(g, F.lit(1)).alias("k"))))
-        return rows.select(i, F.explode(hashed).alias("x")).select(i, "x.h", "x.k")
+        hashed = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda p: F.struct(F.xxhash64(F.slice(w, p, n)).alias("h"), F.xxhash64(F.slice(w, p, n), F.lit(1)).alias("k"))))
+        once = F.transform(F.array(words), hashed)[0]  # bound to a variable, the words are made once and not for every run
+        return df.select(F.col(i), F.explode(once).alias("x")).select(i, "x.h", "x.k")
 
-    return grams(docs, doc_id).join(grams(queries, query_id), ["h", "k"]).select(query_id, doc_id).distinct()
+    return grams(docs, doc_id).join(grams(queries, query_id).distinct(), ["h", "k"]).select(query_id, doc_id).distinct()

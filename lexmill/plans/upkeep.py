@@ -18,7 +18,7 @@ _SHARES = rf"""s AS (SELECT *, length(text) AS n0, length(regexp_replace(text, '
 c AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE 1 - length(regexp_replace(regexp_replace(text, '{_SPACE}+', '', 'g'), '[^\p{{C}}\p{{Z}}]+', '', 'g')) / n END AS readable, CASE WHEN n = 0 THEN 0 ELSE length(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g')) / n END AS alnum, CASE WHEN n = 0 THEN 0 ELSE length(regexp_replace(text, '[^�]+', '', 'g')) / n END AS replaced,
   CASE WHEN len(l) < 10 THEN 0 ELSE len(list_filter(l, lambda x: len(string_split(x, ' ')) <= 2)) / len(l) END AS fragments FROM s),
 q AS (SELECT *, 0.25 * least(1, n0 / 120) + 0.35 * readable + 0.35 * least(1, alnum / 0.7) + 0.05 * greatest(0, 1 - 20 * replaced) AS raw FROM c),
-j AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN n0 < 40 OR fragments > 0.6 THEN round(least(raw, 0.6), 4) ELSE round(least(1, raw), 4) END AS score, concat_ws(',', CASE WHEN n0 < 40 THEN 'insufficient_text' END, CASE WHEN n = 0 THEN 'empty_page' END, CASE WHEN n > 0 AND readable < 0.97 THEN 'control_or_unreadable_characters' END, CASE WHEN n > 0 AND alnum < 0.55 THEN 'low_alphanumeric_ratio' END, CASE WHEN n > 0 AND replaced > 0.005 THEN 'replacement_glyphs' END, CASE WHEN n > 0 AND fragments > 0.6 THEN 'missing_word_spaces' END) AS flags FROM q)"""
+j AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN n0 < 40 OR fragments > 0.6 THEN round(least(raw, 0.6) + 1e-9, 4) ELSE round(least(1, raw) + 1e-9, 4) END AS score, concat_ws(',', CASE WHEN n0 < 40 THEN 'insufficient_text' END, CASE WHEN n = 0 THEN 'empty_page' END, CASE WHEN n > 0 AND readable < 0.97 THEN 'control_or_unreadable_characters' END, CASE WHEN n > 0 AND alnum < 0.55 THEN 'low_alphanumeric_ratio' END, CASE WHEN n > 0 AND replaced > 0.005 THEN 'replacement_glyphs' END, CASE WHEN n > 0 AND fragments > 0.6 THEN 'missing_word_spaces' END) AS flags FROM q)"""
 
 
 @query(f"WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_SHARES} SELECT doc_id, CAST(score AS DOUBLE) AS score, flags FROM j")
