@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .packed import cut, planes, unplanes
 from .slots import has_slot, slots_of
-from .tables import buckets_for, stored, text_bytes
+from .tables import buckets_for, dealt_join, stored, text_bytes
 from .words import U64, buffers, give_back, mix, rows_of, slices, word_bounds, word_hashes
 
 PACKED = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -259,7 +259,7 @@ def line_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str
     asked = claims.select("source_id", "source_line", "source_place").distinct()
     sources = docs.filter(has_slot("doc_id", slots_of(claims, "source_id")))
     digests = sources.select(bucket("doc_id"), "doc_id", "text").groupBy("bucket").cogroup(asked.withColumn("bucket", bucket("source_id")).groupBy("bucket")).applyInArrow(_source_digests, "source_id long, source_line long, source_place long, digest binary")
-    checked = claims.join(digests, ["source_id", "source_line", "source_place"]).select(bucket("doc_id"), "doc_id", "line", "place", "digest")
+    checked = dealt_join(claims, digests, ["source_id", "source_line", "source_place"], "doc_id").select(bucket("doc_id"), "doc_id", "line", "place", "digest")
     schema = StructType([*docs.select("doc_id", *keep).schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     affected = has_slot("doc_id", slots_of(claims, "doc_id"))
     changed = docs.filter(affected).select(bucket("doc_id"), "doc_id", *keep, "text").groupBy("bucket").cogroup(checked.groupBy("bucket")).applyInArrow(_removed, schema)
