@@ -48,18 +48,19 @@ def folded_records(records: DataFrame, sources: DataFrame) -> DataFrame:
 
     Equal contents change nothing; then a verified record wins, then the more trusted source, then the later verification; else
     the kept one stays. As a rule looks at the record kept so far, records are read in order, in sorted partitions and batch by
-    batch: one document may have any number. Null ids go; ties of place are read by sha256.
+    batch: one document may have any number. Null ids go; ties of place are read by sha256, then unverified, less trusted and earlier
+    verified ones first (no date is the earliest), so that only equal records are left in any order.
     """
     trust = sources.groupBy("source_id").agg(F.max(F.when(F.col("enabled"), F.col("trust")).otherwise(0.0)).alias("trust"))
     rows = records.filter("document_id is not null").join(trust, "source_id", "left").select(
         F.col("document_id").cast("string").alias("document_id"), F.col("place").cast("long").alias("place"), F.coalesce("sha256", F.lit("")).alias("sha256"),
         F.coalesce((F.col("verification_status") == "verified").cast("int"), F.lit(0)).alias("verified"), F.coalesce("trust", F.lit(0.0)).cast("double").alias("trust"), F.unix_micros(F.col("last_verified_at").cast("timestamp")).cast("double").alias("date"),
     )
-    return rows.repartition("document_id").sortWithinPartitions("document_id", "place", "sha256").mapInPandas(_folded, STEPS)
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "place", "sha256", "verified", "trust", F.col("date").asc_nulls_first()).mapInPandas(_folded, STEPS)
 
 
 def merged_records(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(document_id, place) of the record that stands for each document, and the audit: the steps at which contents differed."""
     steps = folded_records(records, sources)
-    last = steps.groupBy("document_id").agg(F.max_by("kept_place", "place").alias("place"))
+    last = steps.groupBy("document_id").agg(F.max_by("kept_place", F.struct("place", "kept_place")).alias("place"))  # the kept place never goes back
     return last, steps.filter((F.col("rule") != IDENTICAL) & F.col("rule").isNotNull())

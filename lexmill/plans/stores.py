@@ -122,7 +122,7 @@ def sink_fit_metadata(t: Tables) -> DataFrame:
 _RECORDS = """r AS (SELECT CAST(l_partkey AS VARCHAR) AS document_id, l_orderkey * 1000 + l_linenumber AS place, CAST(l_suppkey % 3 AS VARCHAR) AS sha, CAST(l_returnflag = 'A' AS INTEGER) AS verified, CASE WHEN l_linenumber = 5 THEN 0 ELSE l_linenumber % 3 / 10 END AS trust, CASE WHEN CAST(l_quantity AS BIGINT) % 5 <> 0 THEN l_shipdate END AS date FROM lineitem)"""
 
 
-@query(f"""WITH RECURSIVE {_RECORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place, sha) AS i FROM r),
+@query(f"""WITH RECURSIVE {_RECORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place, sha, verified, trust, date NULLS FIRST) AS i FROM r),
 w AS (SELECT document_id, i, place, place AS kept_place, CAST(NULL AS BIGINT) AS lost_place, CAST(NULL AS VARCHAR) AS rule, sha, verified, trust, date FROM o WHERE i = 1 UNION ALL
   SELECT document_id, i, place, CASE WHEN wins THEN place ELSE kept_place END, CASE WHEN wins THEN kept_place ELSE place END, rule, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN t2 ELSE t1 END, CASE WHEN wins THEN d2 ELSE d1 END
   FROM (SELECT *, CASE rule WHEN 'verified_status' THEN v2 > v1 WHEN 'source_trust' THEN t2 > t1 WHEN 'newer_verification' THEN true ELSE false END AS wins

@@ -235,6 +235,16 @@ def test_conflicts_by_rule(spark):
     }
 
 
+def test_ties_of_place_and_content_do_not_follow_the_rows_order(spark):
+    rows = [("d", 1, "a", "verified", "s", "2024-03-01"), ("d", 1, "a", "unverified", "s", None), ("d", 1, "a", "unverified", "s", "2024-01-01"), ("d", 2, "b", "unverified", "s", "2024-02-01")]
+    sources = spark.createDataFrame([("s", 0.5, True)], "source_id string, trust double, enabled boolean")
+    for given in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        records = spark.createDataFrame(given, "document_id string, place long, sha256 string, verification_status string, source_id string, last_verified_at string").coalesce(1)
+        got = sorted(tuple(r)[1:] for r in conflicts.folded_records(records, sources).collect() if r.place == 2)
+        assert got == [(2, 2, 1, "newer_verification")]  # of the tied ones the unverified record without a date comes first and stays
+        assert conflicts.merged_records(records, sources)[0].collect()[0].place == 2
+
+
 def test_a_fold_goes_on_from_batch_to_batch(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
