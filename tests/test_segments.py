@@ -108,3 +108,22 @@ def test_segments_like_a_plain_loop(spark, seed):
                 held.append((page, rest))
     close()
     assert [(r.chapter, r.section, r.article, r.paragraph, r.page_start, r.page_end, r.text, r.kind) for r in rows(spark, *texts)] == out
+
+
+def test_segments_and_their_sql_on_statutes_without_items(spark, tmp_path):
+    import duckdb
+
+    from lexmill.plans import catalogue
+
+    orders = [(1, 7, "O", "1-URGENT"), (2, 7, "F", "2-HIGH"), (3, 8, "O", "1-URGENT"), (4, 9, "O", "4-LOW"), (5, 9, "O", "4-LOW")]  # statute 7 has marks alone
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(3, n, 6, "R") for n in range(1, 4)] + [(4, n, 6, "R") for n in range(1, 1200)] + [(5, 1, 4, "R"), (5, 2, 7, "R"), (5, 3, 4, "R")]  # and statute 9 a page of more than 1,000 lines
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(catalogue.oracle_sql()["tx_segment"])
+    names = [d[0] for d in want.description]
+    got = catalogue.queries()["tx_segment"](spark, str(tmp_path)).select(*names).collect()
+    assert {tuple(r) for r in got} == set(want.fetchall())
+    assert sorted(r.segment_id for r in got if r.kind == "unstructured") == ["7-page-00001", "7-page-00002"]
