@@ -73,3 +73,40 @@ def test_nearest_over_shards_and_groups(spark):
             near = sorted(((round(float(v @ u) / (np.linalg.norm(v) * np.linalg.norm(u)), 9) if np.linalg.norm(v) and np.linalg.norm(u) else 0.0, i) for i, u in full.items()), key=lambda x: (-x[0], x[1]))[:7]
             assert [(n, i) for n, i, _ in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(near)]
     assert vectors.nearest(asked.limit(0), table, "query_id", "vec_id", "v", 3).count() == 0
+
+
+def test_scores_are_summed_in_parts_that_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import retrieval
+
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices("alfa beta gama delta dan".split(), k=rng.randint(0, 30)))) for i in range(300)] + [(300, None)]
+    asked = [(1, "alfa alfa dan"), (2, "gama"), (3, "omega")]
+    monkeypatch.setattr(retrieval, "TASK_BYTES", 500)
+    spark.createDataFrame(asked, "query_id long, text string").write.parquet(f"{tmp_path}/asked")  # of known size, as tables are
+    scores = retrieval.lexical_scores(spark.read.parquet(f"{tmp_path}/asked"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert scores.rdd.getNumPartitions() == -(-sum(len(x or "") for _, x in docs) // 500)
+    want = {}
+    for q, question in asked:
+        for d, text in docs:
+            tf = Counter(re.findall(r"[a-z0-9_]+", text or ""))
+            total = sum(1 + math.log1p(tf[w]) for w in question.split() if w in tf)
+            if total:
+                want[q, d] = total / math.sqrt(len(tf))
+    got = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # the ranks that measures need, and the scale, without sorting or gathering a query's documents
+    rounded = scores.selectExpr("query_id", "doc_id", "round(score, 9) as score")
+    truth = spark.createDataFrame([(q, d) for q, d in want if d % 37 == 5] + [(3, 1)], "query_id long, doc_id long")
+    some = retrieval.relevant_ranks(rounded, truth, 5)
+    every = retrieval.ranked(rounded, "score", "doc_id", "rank")
+    measured = lambda r: sorted(map(tuple, retrieval.ranking_metrics(r, truth).collect()))
+    assert measured(some) == measured(every)
+    scaled = retrieval.min_max(scores, "score", "scaled")
+    assert "Window" not in scaled._jdf.queryExecution().toString()
+    assert {r.query_id: (r.low, r.high) for r in scaled.groupBy("query_id").agg(F.min("scaled").alias("low"), F.max("scaled").alias("high")).collect()} == {1: (0.0, 1.0), 2: (0.0, 1.0)}
