@@ -132,3 +132,14 @@ def test_like_a_plain_loop(spark):
                 parts[k][3].append(x)
         rows = sorted(got[str(d)], key=lambda r: r.place)
         assert [(r.type, r.parent and int(r.parent[-5:]), r.title, r.text) for r in rows] == [(a, b, c, "\n".join(e)) for a, b, c, e in parts]
+
+
+def test_what_is_kept_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([("a", 1, "BAB I\nKETENTUAN UMUM\nPasal 1\nisi\n(1) satu"), ("a", 2, "Pasal 1\nisi\nPasal 2\n(1) dua"), ("b", 1, ""), ("c", 1, "teks")], "document_id string, page int, text string")
+    whole = legal_tree.legal_tree(pages)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(legal_tree.legal_tree(pages, text="sha256")) == rows(whole.withColumn("text", F.sha2("text", 256)))
+    none = legal_tree.legal_tree(pages, text="none")
+    assert none.columns == [c for c in whole.columns if c != "text"] and rows(none) == rows(whole.drop("text"))
