@@ -42,3 +42,10 @@ def test_texts_to_score_are_taken_apart_once(spark, tmp_path):
     plan = scores._jdf.queryExecution().optimizedPlan().toString()
     assert "size(regexp_extract_all(" not in plan  # a test of the number of words, run before the texts are dealt
     assert [(r.query_id, r.doc_id) for r in scores.collect()] == [(1, 1)]
+
+
+def test_short_texts_are_dealt_by_the_pairs_they_make(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 60)
+    spark.createDataFrame([(q, "a b") for q in range(6)], "query_id long, text string").write.parquet(f"{tmp_path}/asked")
+    scores = retrieval.lexical_scores(spark.read.parquet(f"{tmp_path}/asked"), spark.createDataFrame([(d, "a") for d in range(400)], "doc_id long, text string"))
+    assert scores.rdd.getNumPartitions() == 40 and scores.count() == 2400
