@@ -20,10 +20,11 @@ def signature(line: Column) -> Column:
 
 
 def _edged(pages: DataFrame, edge: int) -> DataFrame:
-    """Pages with `x`, their lines that aren't blank: place, whether they stand at an edge, signature (null for protected ones)."""
+    """Pages with `x`, their lines that aren't blank: place, whether they stand at an edge, signature (null for protected ones and within the page)."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), BREAKS), lambda v: F.regexp_replace(v, r"(?U)\s+", "") != "")
     rows = pages.withColumn("_l", lines)
-    told = F.transform("_l", lambda v, i: F.struct(v.alias("line"), i.alias("place"), ((i < edge) | (i >= F.size("_l") - edge)).alias("edge"), F.when(~v.rlike(PROTECTED), signature(v)).alias("signature")))
+    at_edge = lambda i: (i < edge) | (i >= F.size("_l") - edge)
+    told = F.transform("_l", lambda v, i: F.struct(v.alias("line"), i.alias("place"), at_edge(i).alias("edge"), F.when(at_edge(i) & ~v.rlike(PROTECTED), signature(v)).alias("signature")))
     return rows.select("document_id", "page", told.alias("x"))
 
 
