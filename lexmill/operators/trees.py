@@ -77,8 +77,10 @@ def hierarchy_findings(sections: DataFrame, pages: DataFrame | None = None) -> D
     }
     told = both.select("document_id", "node_id", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in codes.items()]))).alias("code"))
     key = F.struct("document_id", F.col("node_id").alias("n"))
-    looped = chains(sections.select(key.alias("node"), F.when(named, F.struct("document_id", F.col("parent").alias("n"))).alias("parent"))).filter(F.col("state") == CYCLE)
     repeated = sections.groupBy("document_id", "node_id").agg(F.count("*").alias("n")).filter("n > 1")
+    # a chain of nodes whose parents all come earlier ends, so only documents with another node, or a repeated one, are followed
+    odd = both.filter(found & ~F.coalesce(F.col("p_place") < F.col("place"), F.lit(False))).select("document_id").unionByName(repeated.select("document_id")).distinct()
+    looped = chains(sections.join(odd, "document_id", "left_semi").select(key.alias("node"), F.when(named, F.struct("document_id", F.col("parent").alias("n"))).alias("parent"))).filter(F.col("state") == CYCLE)
     out = told.unionByName(looped.select("node.document_id", F.col("node.n").alias("node_id"), F.lit("cycle").alias("code"))).unionByName(repeated.select("document_id", "node_id", F.lit("repeated_node").alias("code")))
     if pages is not None:
         ends = sections.select("document_id", "node_id", F.explode(F.array_distinct(F.array("page_start", "page_end"))).alias("page"))
